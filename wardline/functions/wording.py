@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wardline.functions.scalars import round_to
+
 
 def _whole(v: Column) -> Column:
     return v.cast("long").cast("string")
 
 
+def _one_decimal(v: Column) -> Column:
+    return F.format_string("%.1f", round_to(v, 1))
+
+
+def _thousands(v: Column) -> Column:
+    return F.format_number(round_to(v, 0), 0)
+
+
 def _flag(v: Column, yes: str, no: str) -> Column:
     return F.when(v >= 1, F.lit(yes)).otherwise(F.lit(no))
 
@@ -18,12 +28,12 @@ def factor_sentence(feature: Column, v: Column) -> Column:
     """What the value of a feature means, independent of the direction of its effect."""
     # The wording analysts see.
     text = {
-        "hour_zscore": F.concat(F.lit("login timing is "), F.format_string("%.1f", v),
+        "hour_zscore": F.concat(F.lit("login timing is "), _one_decimal(v),
                                 F.lit(" standard deviations from this user's typical hours")),
-        "geo_distance_km": F.concat(F.format_number(v, 0), F.lit(" km from the previous login's location")),
-        "geo_velocity_kmh": F.concat(F.lit("implied travel speed of "), F.format_number(v, 0),
+        "geo_distance_km": F.concat(_thousands(v), F.lit(" km from the previous login's location")),
+        "geo_velocity_kmh": F.concat(F.lit("implied travel speed of "), _thousands(v),
                                      F.lit(" km/h between consecutive logins")),
-        "time_since_last_event_min": F.concat(F.lit("only "), F.format_string("%.1f", v),
+        "time_since_last_event_min": F.concat(F.lit("only "), _one_decimal(v),
                                               F.lit(" minutes since this user's last activity")),
         "is_new_device": _flag(v, "device never seen for this user before",
                                "device this user has used before"),
@@ -92,4 +102,4 @@ def fallback_strength(feature: str) -> Column:
 
 def alert_label(user: Column, predicted: Column, risk: Column) -> Column:
     return F.concat(user.cast("string"), F.lit(" · "), predicted, F.lit(" · risk="),
-                    F.format_string("%.1f", risk))
+                    _one_decimal(risk))

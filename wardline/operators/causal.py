@@ -18,7 +18,8 @@ from wardline.functions.scalars import (
     HOUR_TO_RADIANS, circular_distance, circular_mean, circular_std, fractional_hour,
     haversine_km, micros, round_to,
 )
-from wardline.operators.skew import SLICE, Agg, lookup, running, union_all, with_slice
+from wardline.operators.skew import SLICE, Agg, lookup, per_key, running, union_all, with_slice
+from wardline.session import cut
 
 SHARED = "shared"
 ORDER = ["us", "event_id"]
@@ -53,11 +54,14 @@ def _angle() -> Column:
 
 def add_dept_prior(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None = None) -> DataFrame:
     """Mean and deviation of the hours of the last ``dept_history`` established events of the home
-    department before each event, as a difference of two running sums."""
+    department before each event, as a difference of two running sums.
+
+    Departments are few, so on large data each one is heavy; then only the five needed columns are
+    scanned in slices, and the result joins back by event.
+    """
     cap = cfg.dept_history
     est = F.col("established")
-    e = with_slice(e, "home_dept", "us", heavy, cfg.broadcast_rows)
-    e = running(e, ["home_dept"], ORDER, [
+    sums = (["home_dept"], [
         Agg("_k", "sum", est.cast("long")),
         Agg("_sin", "sum", F.when(est, F.sin(_angle())).otherwise(0.0)),
         Agg("_cos", "sum", F.when(est, F.cos(_angle())).otherwise(0.0)),
@@ -65,15 +69,22 @@ def add_dept_prior(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None = N
     if heavy is None:
         old = Window.partitionBy("home_dept").orderBy("_k").rangeBetween(
             Window.unboundedPreceding, -cap - 1)
-        e = e.withColumns({
+        e = running(e, ORDER, sums).withColumns({
             "_sin0": F.sum(F.when(est, F.sin(_angle())).otherwise(0.0)).over(old),
             "_cos0": F.sum(F.when(est, F.cos(_angle())).otherwise(0.0)).over(old),
         })
-    else:
-        far = e.where(est).select("home_dept", (F.col("_k") + cap).alias("_k"),
-                                  F.col("_sin").alias("_sin0"), F.col("_cos").alias("_cos0"))
-        e = e.drop(SLICE).join(far, ["home_dept", "_k"], "left")
-    n = F.least(F.col("_k"), F.lit(cap))
+        return _prior_from_sums(e, cfg)
+    narrow = e.select("event_id", "home_dept", "us", "hour", "established")
+    narrow = with_slice(narrow, "home_dept", "us", heavy, cfg.broadcast_rows)
+    narrow = cut(running(narrow, ORDER, sums).drop(SLICE))
+    far = narrow.where(est).select("home_dept", (F.col("_k") + cap).alias("_k"),
+                                   F.col("_sin").alias("_sin0"), F.col("_cos").alias("_cos0"))
+    priors = _prior_from_sums(narrow.join(far, ["home_dept", "_k"], "left"), cfg)
+    return e.drop("established").join(priors.select("event_id", "prior_mean", "prior_std"), "event_id")
+
+
+def _prior_from_sums(e: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    n = F.least(F.col("_k"), F.lit(cfg.dept_history))
     s = F.col("_sin") - F.coalesce("_sin0", F.lit(0.0))
     c = F.col("_cos") - F.coalesce("_cos0", F.lit(0.0))
     return e.withColumns({
@@ -85,16 +96,19 @@ def add_dept_prior(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None = N
 def add_fingerprint_mismatch(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None = None) -> DataFrame:
     """1 when the claimed fingerprint differs from the one seen most often before on this device
     (ties: the one seen first). The running mode is a running minimum of (-count, first seen, fp)."""
-    e = with_slice(e, "device_id", "us", heavy, cfg.broadcast_rows)
+    return per_key(e, "device_id", "us", heavy, _fingerprint_step, cfg.broadcast_rows)
+
+
+def _fingerprint_step(e: DataFrame) -> DataFrame:
     here = F.struct("us", "event_id")
-    e = running(e, ["device_id", "fp"], ORDER, [
-        Agg("_seen", "count", F.lit(1)), Agg("_first", "min", here)])
+    e = running(e, ORDER, (["device_id", "fp"], [
+        Agg("_seen", "count", F.lit(1)), Agg("_first", "min", here)]))
     rank = F.struct((-(F.col("_seen") + 1)).alias("n"), F.least(F.col("_first"), here).alias("first"),
                     F.col("fp").alias("fp"))
-    e = running(e, ["device_id"], ORDER, [Agg("_top", "min", F.when(F.col("fp").isNotNull(), rank))])
+    e = running(e, ORDER, (["device_id"], [Agg("_top", "min", F.when(F.col("fp").isNotNull(), rank))]))
     differs = F.col("fp").isNotNull() & F.col("_top").isNotNull() & (F.col("fp") != F.col("_top.fp"))
     return e.withColumn("fingerprint_mismatch", F.coalesce(differs, F.lit(False)).cast("int")).drop(
-        "_seen", "_first", "_top", SLICE)
+        "_seen", "_first", "_top")
 
 
 def _add_bursts(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None) -> DataFrame:
@@ -106,34 +120,31 @@ def _add_bursts(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None) -> Da
     """
     lateral, failure = cfg.lateral_window_s * 1_000_000, cfg.failure_window_s * 1_000_000
     foreign = F.col("is_foreign_dept") == 1
-    fail = F.when(F.col("status") == "failure", 1).otherwise(0)
-    touch = running(e, ["user_id", "owner_dept", "is_foreign_dept"], ORDER,
-                    [Agg("_prev", "last", F.struct("us", "event_id"))])
     gap = F.col("us") - F.col("_prev.us")
     started = foreign & (F.col("_prev").isNull() | (gap > lateral))
-    e = touch.withColumns({"_fd": started.cast("int"), "_nh": F.col("is_new_host"), "_fail": fail})
+    e = e.withColumns({"_fd": started.cast("int"), "_nh": F.col("is_new_host"),
+                       "_fail": F.when(F.col("status") == "failure", 1).otherwise(0)})
+    names = ["foreign_dept_burst_distinct", "new_host_burst_count", "failure_burst_count"]
 
-    if heavy is None:
+    if SLICE not in e.columns:
         pairs = Window.partitionBy("user_id", "owner_dept", "is_foreign_dept").orderBy(*ORDER)
         following = F.lead("us", 1).over(pairs) - F.col("us")
         e = e.withColumn("_fd_end", (foreign & (following.isNull() | (following > lateral))).cast("int"))
         by_user = Window.partitionBy("user_id")
         seen = by_user.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
 
-        def expired(width: int):
-            return by_user.orderBy("us").rangeBetween(Window.unboundedPreceding, -width - 1)
-
         def active(start: str, end: str, width: int) -> Column:
+            old = by_user.orderBy("us").rangeBetween(Window.unboundedPreceding, -width - 1)
             return (F.coalesce(F.sum(start).over(seen), F.lit(0))
-                    - F.coalesce(F.sum(end).over(expired(width)), F.lit(0))).cast("int")
+                    - F.coalesce(F.sum(end).over(old), F.lit(0))).cast("int")
 
-        return e.withColumns({
-            "foreign_dept_burst_distinct": active("_fd", "_fd_end", lateral),
-            "new_host_burst_count": active("_nh", "_nh", lateral),
-            "failure_burst_count": active("_fail", "_fail", failure),
-        }).drop("_prev", "_fd", "_fd_end", "_nh", "_fail")
+        return e.withColumns(dict(zip(names, [
+            active("_fd", "_fd_end", lateral), active("_nh", "_nh", lateral), active("_fail", "_fail", failure),
+        ]))).drop("_prev", "_fd", "_fd_end", "_nh", "_fail")
 
     # Heavy users: expiries become rows of their own, so that time slices need no look-back.
+    e = cut(e.drop(SLICE))
+
     def expiry(rows: DataFrame, at: Column, name: str) -> DataFrame:
         return rows.select("user_id", at.alias("us"), F.lit(-1).alias(name))
 
@@ -141,39 +152,46 @@ def _add_bursts(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None) -> Da
     expiries = union_all([
         expiry(e.where(started & F.col("_prev").isNotNull()), F.col("_prev.us") + lateral + 1, "_fd"),
         expiry(open_depts, F.col("us") + lateral + 1, "_fd"),
-        expiry(e.where(F.col("_nh") == 1), F.col("us") + lateral + 1, "_nh"),
-        expiry(e.where(F.col("_fail") == 1), F.col("us") + failure + 1, "_fail"),
+        expiry(e.where("_nh = 1"), F.col("us") + lateral + 1, "_nh"),
+        expiry(e.where("_fail = 1"), F.col("us") + failure + 1, "_fail"),
     ]).groupBy("user_id", "us").agg(*[F.sum(c).alias(c) for c in ("_fd", "_nh", "_fail")])
-    marked = union_all([e.drop("_prev", SLICE).withColumn("_event", F.lit(1)),
-                        expiries.withColumn("_event", F.lit(0))])
+    marked = union_all([
+        e.select("user_id", "us", "event_id", "_fd", "_nh", "_fail").withColumn("_event", F.lit(1)),
+        expiries.withColumn("_event", F.lit(0))])
     marked = with_slice(marked, "user_id", "us", heavy, cfg.broadcast_rows)
-    counted = running(marked, ["user_id"], ["us", "_event", "event_id"], [
-        Agg("foreign_dept_burst_distinct", "sum", F.col("_fd")),
-        Agg("new_host_burst_count", "sum", F.col("_nh")),
-        Agg("failure_burst_count", "sum", F.col("_fail")),
-    ])
-    names = ["foreign_dept_burst_distinct", "new_host_burst_count", "failure_burst_count"]
-    return counted.where("_event = 1").withColumns({c: F.col(c).cast("int") for c in names}).drop(
-        "_event", "_fd", "_nh", "_fail")
+    counted = running(marked, ["us", "_event", "event_id"], (["user_id"], [
+        Agg(name, "sum", F.col(c)) for name, c in zip(names, ("_fd", "_nh", "_fail"))]))
+    counted = counted.where("_event = 1").select("event_id", *[F.col(c).cast("int").alias(c) for c in names])
+    return e.drop("_prev", "_fd", "_nh", "_fail").join(counted, "event_id")
 
 
 def add_user_history(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None = None) -> DataFrame:
-    """Novelty, travel, hour deviation, bursts and history depth, all keyed by user."""
+    """Novelty, travel, hour deviation, bursts and history depth, all keyed by user: one shuffle."""
+    return per_key(e, "user_id", "us", heavy, lambda rows: _user_step(rows, cfg, heavy), cfg.broadcast_rows)
+
+
+def _user_step(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None) -> DataFrame:
     cap = cfg.hour_history
-    e = with_slice(e, "user_id", "us", heavy, cfg.broadcast_rows)
-    e = running(e, ["user_id"], ORDER, [
-        Agg("_n", "count", F.lit(1)),
-        Agg("_first_us", "min", F.col("us")),
-        Agg("_last", "last", F.struct("us", "event_id", "geo_lat", "geo_lon")),
-        Agg("_sin", "sum", F.sin(_angle())),
-        Agg("_cos", "sum", F.cos(_angle())),
-    ])
-    for item, name in (("device_id", "_dev_n"), ("host", "_host_n"), ("owner_dept", "_dept_n")):
-        e = running(e, ["user_id", item], ORDER, [Agg(name, "count", F.lit(1))])
-    if heavy is None:
+    one = F.lit(1)
+    e = running(
+        e, ORDER,
+        (["user_id"], [
+            Agg("_n", "count", one),
+            Agg("_first_us", "min", F.col("us")),
+            Agg("_last", "last", F.struct("us", "event_id", "geo_lat", "geo_lon")),
+            Agg("_sin", "sum", F.sin(_angle())),
+            Agg("_cos", "sum", F.cos(_angle())),
+        ]),
+        (["user_id", "device_id"], [Agg("_dev_n", "count", one)]),
+        (["user_id", "host"], [Agg("_host_n", "count", one)]),
+        (["user_id", "owner_dept"], [Agg("_dept_n", "count", one)]),
+        (["user_id", "owner_dept", "is_foreign_dept"], [Agg("_prev", "last", F.struct("us", "event_id"))]),
+    )
+    if SLICE not in e.columns:
         win = Window.partitionBy("user_id").orderBy(*ORDER)
         e = e.withColumns({"_sin0": F.lag("_sin", cap).over(win), "_cos0": F.lag("_cos", cap).over(win)})
     else:
+        e = cut(e)
         far = e.select("user_id", (F.col("_n") + cap).alias("_n"),
                        F.col("_sin").alias("_sin0"), F.col("_cos").alias("_cos0"))
         e = e.join(far, ["user_id", "_n"], "left")

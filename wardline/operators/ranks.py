@@ -21,7 +21,7 @@ def _cumulate(counts: DataFrame, keys: list[str], value: str, sums: list[str],
     counts = cut(counts)
     if not fits(counts, max_rows):
         counts = order_bins(counts, value)
-    out = running(counts, keys, [value], [Agg(f"before_{c}", "sum", F.col(c)) for c in sums])
+    out = running(counts, [value], (keys, [Agg(f"before_{c}", "sum", F.col(c)) for c in sums]))
     return out.drop(SLICE)
 
 

@@ -69,16 +69,27 @@ def heavy_keys(df: DataFrame, key: str, us: str, max_rows: int,
     )
 
 
-def with_slice(df: DataFrame, key: str, us: str, heavy: DataFrame | None,
+def with_slice(df: DataFrame, key: str, us: str, heavy: DataFrame,
                broadcast_rows: int = 500_000) -> DataFrame:
     """Adds the slice number; light keys get slice 0."""
-    if heavy is None:
-        return df
     joined = lookup(df, heavy, key, broadcast_rows)
     number = F.floor(F.col(us) / 1_000_000 / F.col("_width")).cast("long")
     return joined.withColumn(SLICE, F.coalesce(number, F.lit(0))).drop("_width")
 
 
+def per_key(df: DataFrame, key: str, us: str, heavy: DataFrame | None, step,
+            broadcast_rows: int = 500_000) -> DataFrame:
+    """Runs ``step`` on the rows of the light keys as they are and on those of the heavy keys with
+    slices. Without heavy keys the table is passed through untouched."""
+    if heavy is None:
+        return step(df)
+    df = cut(df)
+    light = lookup(df, heavy.select(key), key, broadcast_rows, "left_anti")
+    sliced = with_slice(lookup(df, heavy.select(key), key, broadcast_rows, "left_semi"), key, us, heavy,
+                        broadcast_rows)
+    return step(light).unionByName(step(sliced).drop(SLICE))
+
+
 def _fold(agg: Agg) -> Column:
     if agg.kind == "sum":
         return F.sum(agg.expr)
@@ -100,39 +111,47 @@ def _merge(agg: Agg, local: Column, before: Column) -> Column:
     return F.coalesce(local, before)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg]) -> DataFrame:
-    """Adds each aggregate over the rows of the same ``keys`` strictly before the row in ``order``.
+def running(df: DataFrame, order: list[str], *groups: tuple[list[str], list[Agg]]) -> DataFrame:
+    """Adds aggregates over the rows strictly before each row in ``order``, among the rows with the
+    same keys; ``groups`` lists (keys, aggregates) pairs.
 
     ``last`` expects a struct that starts with the order columns. Sums and counts of no rows are 0,
-    the others null. Slices are used when ``df`` carries the slice column.
+    the others null. When ``df`` carries the slice column it is written out once, scanned per slice,
+    and each row gets the totals of its key's earlier slices by an equality join.
     """
-    sliced = SLICE in df.columns
-    part = keys + [SLICE] if sliced else keys
-    win = Window.partitionBy(*part).orderBy(*order)
-    before = win.rowsBetween(Window.unboundedPreceding, -1)
-
-    def local(agg: Agg) -> Column:
-        return F.lag(agg.expr, 1).over(win) if agg.kind == "last" else _fold(agg).over(before)
-
-    if not sliced:
-        return df.withColumns({
-            a.name: F.coalesce(local(a), F.lit(0)) if a.kind in ("sum", "count") else local(a)
-            for a in aggs
-        })
-
-    scanned = df.withColumns({a.name: local(a) for a in aggs})
-    totals = df.groupBy(*part).agg(*[_fold(a).alias(f"_t_{a.name}") for a in aggs])
-    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        totals.select(
-            *part, F.count(F.lit(1)).over(earlier).alias("_rank"),
+    if SLICE not in df.columns:
+        for keys, aggs in groups:
+            df = df.withColumns({
+                a.name: F.coalesce(_local(a, keys, order), F.lit(0)) if a.kind in ("sum", "count")
+                else _local(a, keys, order) for a in aggs})
+        return df
+
+    df = cut(df)
+    out = df
+    for keys, aggs in groups:
+        out = out.withColumns({a.name: _local(a, keys + [SLICE], order) for a in aggs})
+    for keys, aggs in groups:
+        totals = df.groupBy(*keys, SLICE).agg(*[_fold(a).alias(f"_t_{a.name}") for a in aggs])
+        earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        carried = totals.select(
+            *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(SLICE).alias("_k_slice"),
+            F.count(F.lit(1)).over(earlier).alias("_rank"),
             *[_fold(Agg(a.name, "sum" if a.kind == "count" else a.kind, F.col(f"_t_{a.name}")))
-              .over(earlier).alias(f"_c_{a.name}") for a in aggs])
-        .where(F.col("_rank") > 0).drop("_rank")
-    )
-    merged = scanned.join(carried, part, "left")
-    merged = merged.withColumns({a.name: _merge(a, F.col(a.name), F.col(f"_c_{a.name}")) for a in aggs})
-    return merged.drop(*[f"_c_{a.name}" for a in aggs])
+              .over(earlier).alias(f"_c_{a.name}") for a in aggs]).where("_rank > 0").drop("_rank")
+        same = F.col(SLICE) == F.col("_k_slice")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        out = out.join(carried, same, "left")
+        out = out.withColumns({a.name: _merge(a, F.col(a.name), F.col(f"_c_{a.name}")) for a in aggs})
+        out = out.drop("_k_slice", *[f"_k_{k}" for k in keys], *[f"_c_{a.name}" for a in aggs])
+    return out
+
+
+def _local(agg: Agg, keys: list[str], order: list[str]) -> Column:
+    win = Window.partitionBy(*keys).orderBy(*order)
+    if agg.kind == "last":
+        return F.lag(agg.expr, 1).over(win)
+    return _fold(agg).over(win.rowsBetween(Window.unboundedPreceding, -1))
 
 
 def order_bins(df: DataFrame, column: str, cuts: int = 64, subs: int = 16) -> DataFrame:

@@ -21,7 +21,7 @@ def session_split(df: DataFrame, max_rows: int = MAX_SORTED_ROWS) -> DataFrame:
     sessions = cut(sessions.withColumn("_h", F.md5(F.col("attack_id").cast("string"))))
     if not fits(sessions, max_rows):
         sessions = sessions.withColumn(SLICE, F.conv(F.substring("_h", 1, 3), 16, 10).cast("long"))
-    ranked = running(sessions, ["attack_type"], ["_h", "attack_id"], [Agg("_r", "count", F.lit(1))])
+    ranked = running(sessions, ["_h", "attack_id"], (["attack_type"], [Agg("_r", "count", F.lit(1))]))
     sizes = ranked.groupBy("attack_type").agg(F.ceil(F.count(F.lit(1)) * 0.2).alias("_fifth"))
     ranked = ranked.join(F.broadcast(sizes), "attack_type")  # one row per attack type
     return ranked.select("attack_id", F.when(F.col("_r") < F.col("_fifth"), "test")

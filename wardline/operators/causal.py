@@ -101,6 +101,8 @@ def add_fingerprint_mismatch(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame
 
 def _fingerprint_step(e: DataFrame) -> DataFrame:
     here = F.struct("us", "event_id")
+    if SLICE not in e.columns:
+        e = e.repartition("device_id")  # one shuffle serves both windows
     e = running(e, ORDER, (["device_id", "fp"], [
         Agg("_seen", "count", F.lit(1)), Agg("_first", "min", here)]))
     rank = F.struct((-(F.col("_seen") + 1)).alias("n"), F.least(F.col("_first"), here).alias("first"),
@@ -127,8 +129,7 @@ def _add_bursts(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None) -> Da
     names = ["foreign_dept_burst_distinct", "new_host_burst_count", "failure_burst_count"]
 
     if SLICE not in e.columns:
-        pairs = Window.partitionBy("user_id", "owner_dept", "is_foreign_dept").orderBy(*ORDER)
-        following = F.lead("us", 1).over(pairs) - F.col("us")
+        following = F.col("_next_us") - F.col("us")
         e = e.withColumn("_fd_end", (foreign & (following.isNull() | (following > lateral))).cast("int"))
         by_user = Window.partitionBy("user_id")
         seen = by_user.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
@@ -140,7 +141,7 @@ def _add_bursts(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None) -> Da
 
         return e.withColumns(dict(zip(names, [
             active("_fd", "_fd_end", lateral), active("_nh", "_nh", lateral), active("_fail", "_fail", failure),
-        ]))).drop("_prev", "_fd", "_fd_end", "_nh", "_fail")
+        ]))).drop("_prev", "_next_us", "_fd", "_fd_end", "_nh", "_fail")
 
     # Heavy users: expiries become rows of their own, so that time slices need no look-back.
     e = cut(e.drop(SLICE))
@@ -188,7 +189,9 @@ def _user_step(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None) -> Dat
         (["user_id", "owner_dept", "is_foreign_dept"], [Agg("_prev", "last", F.struct("us", "event_id"))]),
     )
     if SLICE not in e.columns:
+        pairs = Window.partitionBy("user_id", "owner_dept", "is_foreign_dept").orderBy(*ORDER)
         win = Window.partitionBy("user_id").orderBy(*ORDER)
+        e = e.withColumn("_next_us", F.lead("us", 1).over(pairs))
         e = e.withColumns({"_sin0": F.lag("_sin", cap).over(win), "_cos0": F.lag("_cos", cap).over(win)})
     else:
         e = cut(e)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.config import FeatureConfig
-from wardline.operators.skew import fits, union_all
+from wardline.operators.skew import union_all
 from wardline.session import cut
 
 
@@ -29,17 +29,17 @@ def _next_ring(ring: DataFrame, inner: DataFrame, links: DataFrame) -> DataFrame
     return grown.join(ring, ["src", "dst"], "left_anti").join(inner, ["src", "dst"], "left_anti")
 
 
-def _links(edges: DataFrame, broadcast_rows: int) -> DataFrame:
-    links = cut(undirected(edges).select("src", "dst").where("src != dst"))
-    return F.broadcast(links) if fits(links, broadcast_rows) else links
-
-
+# A graph of at most this many hosts is searched on its own per source: all pairs are 9 million.
 SMALL_GRAPH_HOSTS = 3_000
+# Below this many (visit, host) pairs distances are matched in one round.
+ONE_ROUND_PAIRS = 20_000_000
 
 
-def _small(links: DataFrame) -> bool:
-    """True when all pairs of hosts are few enough (9 million) to be tabulated up front."""
-    return fits(links.select("src").distinct(), SMALL_GRAPH_HOSTS)
+def _links(edges: DataFrame, broadcast_rows: int) -> tuple[DataFrame, int, bool]:
+    """Directed links written out, the number of hosts, and whether the links may be broadcast."""
+    links = cut(undirected(edges).select("src", "dst").where("src != dst"))
+    n_links, n_hosts = links.agg(F.count(F.lit(1)), F.count_distinct("src")).first()
+    return links, n_hosts, n_links <= broadcast_rows
 
 
 def _bfs_from(adjacency):
@@ -65,9 +65,13 @@ def distances(sources: DataFrame, edges: DataFrame, broadcast_rows: int = 500_00
     A graph of checked small size is broadcast and each source searched on its own; a larger one is
     searched breadth-first by joins, one round per hop, until no new pair appears.
     """
-    links = _links(edges, broadcast_rows)
+    links, n_hosts, small_links = _links(edges, broadcast_rows)
+    return _distances(sources, links, n_hosts, small_links)
+
+
+def _distances(sources: DataFrame, links: DataFrame, n_hosts: int, small_links: bool) -> DataFrame:
     sources = sources.select(F.col("host").alias("src")).distinct()
-    if _small(links):
+    if n_hosts <= SMALL_GRAPH_HOSTS:
         spark = links.sparkSession
         adjacency = {r["src"]: r["nbs"] for r in
                      links.groupBy("src").agg(F.collect_list("dst").alias("nbs")).collect()}
@@ -75,6 +79,7 @@ def distances(sources: DataFrame, edges: DataFrame, broadcast_rows: int = 500_00
                                T.StructField("d", T.IntegerType())])
         spread = sources.repartition("src")
         return spread.mapInPandas(_bfs_from(spark.sparkContext.broadcast(adjacency)), schema)
+    links = F.broadcast(links) if small_links else links
     ring = cut(sources.select("src", F.col("src").alias("dst")))
     inner, found, hop = ring.limit(0), ring.withColumn("d", F.lit(0)), 0
     while True:
@@ -100,31 +105,32 @@ def nearest_visited(visits: DataFrame, edges: DataFrame, cfg: FeatureConfig) ->
     and a visit drops out at its first match. Hosts outside the graph, or without any earlier visit
     in reach, get ``unreachable``.
     """
-    visits = visits.persist()
-    links = _links(edges, cfg.broadcast_rows)
+    visits = cut(visits)
+    links, n_hosts, small_links = _links(edges, cfg.broadcast_rows)
     starts = visits.groupBy("user_id").agg(F.min(F.struct("us", "event_id")).alias("_o"))
     pending = visits.join(starts.select(F.col("_o.event_id").alias("event_id")), "event_id", "left_anti")
     earlier = visits.select("user_id", F.col("host").alias("dst"), F.col("us").alias("_us"),
                             F.col("event_id").alias("_id"))
     hosts = pending.select("host").distinct()
-    if _small(links):
-        rings = _tabulated_rings(cut(distances(hosts, links, cfg.broadcast_rows)))
+    if n_hosts <= SMALL_GRAPH_HOSTS:
+        table = _distances(hosts, links, n_hosts, small_links)
+        if visits.count() * n_hosts <= ONE_ROUND_PAIRS:
+            rings = iter([table.where("d > 0")])
+        else:
+            rings = _tabulated_rings(cut(table))
     else:
-        rings = _grown_rings(hosts, links)
+        rings = _grown_rings(hosts, F.broadcast(links) if small_links else links)
     answers = []
     ring = next(rings, None)
     while ring is not None:
-        hit = (pending.join(ring, pending.host == ring.src)
-               .join(earlier, ["user_id", "dst"])
-               .where(F.struct("_us", "_id") < F.struct("us", "event_id"))
-               .groupBy("event_id").agg(F.min("d").alias("graph_dist_from_history")))
-        hit = cut(hit)
+        hit = cut(pending.join(ring, pending.host == ring.src)
+                  .join(earlier, ["user_id", "dst"])
+                  .where(F.struct("_us", "_id") < F.struct("us", "event_id"))
+                  .groupBy("event_id").agg(F.min("d").alias("graph_dist_from_history")))
         answers.append(hit)
-        pending = cut(pending.join(hit, "event_id", "left_anti"))
-        if pending.isEmpty():
-            break
+        pending = pending.join(hit, "event_id", "left_anti")
         try:
-            ring = rings.send(pending.select(F.col("host").alias("src")).distinct())
+            ring = rings.send(pending) if hasattr(rings, "send") else next(rings)
         except StopIteration:
             break
     answers.append(pending.select("event_id", F.lit(cfg.unreachable).alias("graph_dist_from_history")))
@@ -132,16 +138,13 @@ def nearest_visited(visits: DataFrame, edges: DataFrame, cfg: FeatureConfig) ->
 
 
 def _tabulated_rings(table: DataFrame):
-    """Distances 1, 2-3, 4-7, ... of the table: few rounds, the near hosts first."""
-    farthest = table.agg(F.max("d")).first()[0] or 0
-    near = 1
-    while near <= farthest:
-        yield table.where(F.col("d").between(near, 2 * near - 1))
-        near *= 2
+    """Distance 1 first, which settles most visits, then 2 and 3, then the rest."""
+    for low, high in ((1, 1), (2, 3), (4, SMALL_GRAPH_HOSTS)):
+        yield table.where(F.col("d").between(low, high))
 
 
 def _grown_rings(hosts: DataFrame, links: DataFrame):
-    """Rings grown hop by hop, only around the hosts that are still wanted."""
+    """Rings grown hop by hop, only around the hosts of visits that are still pending."""
     ring = cut(hosts.select(F.col("host").alias("src")).join(links, "src", "left_semi")
                .select("src", F.col("src").alias("dst")))
     inner, hop = ring.limit(0), 0
@@ -150,19 +153,21 @@ def _grown_rings(hosts: DataFrame, links: DataFrame):
         grown = cut(_next_ring(ring, inner, links))
         if grown.isEmpty():
             return
-        wanted = yield grown.withColumn("d", F.lit(hop))
+        pending = yield grown.withColumn("d", F.lit(hop))
+        wanted = cut(pending.select(F.col("host").alias("src")).distinct())
+        if wanted.isEmpty():
+            return
         inner, ring = ring.join(wanted, "src", "left_semi"), grown.join(wanted, "src", "left_semi")
 
 
-def neighbours(hosts: DataFrame, edges: DataFrame) -> DataFrame:
+def neighbours(hosts: DataFrame, links: DataFrame) -> DataFrame:
     """(user_id, host) of the hosts next to each given (user_id, host)."""
-    links = undirected(edges).select(F.col("src").alias("host"), "dst")
-    return hosts.join(links, "host").select("user_id", F.col("dst").alias("host")).distinct()
+    return hosts.join(links.select(F.col("src").alias("host"), "dst"), "host").select("user_id", F.col("dst").alias("host")).distinct()
 
 
 def investigation_nodes(users: DataFrame, events: DataFrame, normal_hosts: DataFrame,
-                        edges: DataFrame) -> DataFrame:
-    """(user_id, host, role) for every user under investigation.
+                        links: DataFrame) -> DataFrame:
+    """(user_id, host, role) for every user under investigation; ``links`` holds both directions.
 
     Normal hosts, touched hosts and neighbours of touched hosts; a host is ``touched`` before
     ``normal`` before ``context``. Hosts outside the graph are left out.
@@ -172,15 +177,15 @@ def investigation_nodes(users: DataFrame, events: DataFrame, normal_hosts: DataF
     normal = normal_hosts.join(users, "user_id", "left_semi").select("user_id", "host").distinct()
     ranked = (touched.withColumn("_r", F.lit(0))
               .unionByName(normal.withColumn("_r", F.lit(1)))
-              .unionByName(neighbours(touched, edges).withColumn("_r", F.lit(2))))
-    in_graph = undirected(edges).select(F.col("src").alias("host")).distinct()
+              .unionByName(neighbours(touched, links).withColumn("_r", F.lit(2))))
+    in_graph = links.select(F.col("src").alias("host")).distinct()
     role = F.element_at(F.array(F.lit("touched"), F.lit("normal"), F.lit("context")), F.min("_r") + 1)
     return ranked.join(in_graph, "host", "left_semi").groupBy("user_id", "host").agg(role.alias("role"))
 
 
-def investigation_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def investigation_edges(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Edges with both ends among a user's nodes, each undirected edge once."""
-    once = undirected(edges).where("src < dst")
+    once = links.where("src < dst")
     a = nodes.select("user_id", F.col("host").alias("src"))
     b = nodes.select("user_id", F.col("host").alias("dst"))
     return a.join(once, "src").join(b, ["user_id", "dst"], "left_semi").select("user_id", "src", "dst", "kind")

@@ -70,8 +70,6 @@ def edges() -> dict[str, str]:
         "links": """
             SELECT src, dst, max(kind) AS kind FROM
             (SELECT * FROM one_way UNION ALL SELECT dst, src, kind FROM one_way) GROUP BY ALL""",
-        "dist": """
-            SELECT src, dst, d FROM dist0""",
     }
 
 
@@ -80,7 +78,7 @@ def distance_ctes(sources: str = "SELECT DISTINCT host FROM access") -> dict[str
         "walk(src, dst, d)": f"""
             SELECT host, host, 0 FROM ({sources})
             UNION
-            SELECT w.src, l.dst, w.d + 1 FROM walk w JOIN links l ON l.src = w.dst WHERE w.d < 16""",
+            SELECT w.src, l.dst, w.d + 1 FROM walk w JOIN links l ON l.src = w.dst WHERE w.d < 40""",
         "dist": "SELECT src, dst, min(d) AS d FROM walk GROUP BY ALL",
     }
 
@@ -105,7 +103,7 @@ def features(cfg: FeatureConfig = TEST_CONFIG) -> dict[str, str]:
     u_mean, u_std = circular("least(n, %d)" % cfg.hour_history, "usin", "ucos")
     angle = "(hr * (2 * pi() / 24))"
     order = "ORDER BY us, event_id"
-    out = access() | {k: v for k, v in edges().items() if k != "dist"} | distance_ctes()
+    out = access() | edges() | distance_ctes()
     out |= {
         "f1": f"""
             SELECT *, NOT is_cold_start AS est,

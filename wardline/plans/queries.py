@@ -17,10 +17,11 @@ from wardline.operators.ranks import quantiles
 from wardline.operators.skew import union_all
 from wardline.plans import oracles as o
 from wardline.plans.results import (
-    TEST_CONFIG, features_of, results_of, rule_probabilities, scored_of,
+    TEST_CONFIG, entities_of, features_of, results_of, rule_probabilities, scored_of,
 )
+from wardline.session import cut
 from wardline.sources.entities import host_owners
-from wardline.sources.events import access_entities, access_events
+from wardline.sources.events import access_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,7 +46,7 @@ def _access(text: str) -> str:
 
 
 def _edges(text: str) -> str:
-    return _on(o.access() | {k: v for k, v in o.edges().items() if k != "dist"}, text)
+    return _on(o.access() | o.edges(), text)
 
 
 def _features(text: str) -> str:
@@ -107,15 +108,15 @@ def access_view(spark, sf_dir):
       CAST(owner_dept <> dept AND owner_dept <> 'shared' AS INT) AS is_foreign_dept FROM access"""))
 def enriched_events(spark, sf_dir):
     events = access_events(spark, sf_dir)
-    ent = access_entities(events)
+    ent = entities_of(spark, sf_dir)
     e = enrich(events, ent.users, ent.hosts, ent.devices, TEST_CONFIG)
     return e.select("event_id", "home_dept", "owner_dept", "us", F.round("hour", 6).alias("hour"), "established",
                     "fp.os", "fp.browser", "fp.screen", "is_foreign_dept")
 
 
 @register("host_owners", _access("""
-    SELECT host, CASE WHEN bool_or(k >= 70 AND k < 85) THEN 'shared' ELSE min(dept) END AS owner_dept
-    FROM typed_access WHERE k < 85 GROUP BY host"""))
+    SELECT host, max(CASE WHEN host >= 90 THEN 'shared' ELSE dept END) AS owner_dept FROM access
+    WHERE host >= 90 OR (host % 18 < 9 AND floor(host / 18.0) = CAST(substr(dept, 2) AS INT)) GROUP BY host"""))
 def host_owner_map(spark, sf_dir):
     events = access_events(spark, sf_dir)
     home = events.where("host < 90 and host % 18 < 9 and floor(host / 18) = cast(substr(dept, 2) as int)")
@@ -123,13 +124,8 @@ def host_owner_map(spark, sf_dir):
     return host_owners(home.select("host", "dept").distinct(), events.where("host >= 90").select("host").distinct())
 
 
-ORACLES["host_owners"] = _access("""
-    SELECT host, max(CASE WHEN host >= 90 THEN 'shared' ELSE dept END) AS owner_dept FROM access
-    WHERE host >= 90 OR (host % 18 < 9 AND floor(host / 18.0) = CAST(substr(dept, 2) AS INT)) GROUP BY host""")
-
-
-@register("department_hours", _access("WITH s AS (SELECT dept, count(*) AS n, sum(sin(hr * (2 * pi() / 24))) AS s, "
-          "sum(cos(hr * (2 * pi() / 24))) AS c FROM access GROUP BY dept) "
+@register("department_hours", _on(o.access() | {"s": "SELECT dept, count(*) AS n, "
+          "sum(sin(hr * (2 * pi() / 24))) AS s, sum(cos(hr * (2 * pi() / 24))) AS c FROM access GROUP BY dept"},
           f"SELECT dept, n, round({o.circular('n', 's', 'c')[0]}, 6) AS mean_hour, "
           f"round({o.circular('n', 's', 'c')[1]}, 6) AS std_hour FROM s"))
 def department_hours(spark, sf_dir):
@@ -159,13 +155,13 @@ def dataset_stats(spark, sf_dir):
 
 @register("host_edges", _edges("SELECT src, dst, kind FROM links"))
 def host_edges(spark, sf_dir):
-    return graph.undirected(access_entities(access_events(spark, sf_dir)).edges)
+    return graph.undirected(entities_of(spark, sf_dir).edges)
 
 
-@register("host_distances", _on(o.access() | {k: v for k, v in o.edges().items() if k != "dist"}
+@register("host_distances", _on(o.access() | o.edges()
                                 | o.distance_ctes(), "SELECT src, dst, CAST(d AS INT) AS d FROM dist"))
 def host_distances(spark, sf_dir):
-    ent = access_entities(access_events(spark, sf_dir))
+    ent = entities_of(spark, sf_dir)
     return graph.distances(ent.hosts, ent.edges)
 
 
@@ -183,9 +179,11 @@ _NODES = o.results() | {
 
 def _nodes(spark, sf_dir):
     res = results_of(spark, sf_dir)
-    ent = access_entities(access_events(spark, sf_dir))
-    return graph.investigation_nodes(alerts.lateral_users(res), res.select("user_id", "host"),
-                                     ent.normal_hosts, ent.edges), ent.edges
+    ent = entities_of(spark, sf_dir)
+    links = cut(graph.undirected(ent.edges))
+    nodes = graph.investigation_nodes(alerts.lateral_users(res), res.select("user_id", "host"),
+                                      ent.normal_hosts, links)
+    return cut(nodes), links
 
 
 @register("investigation_nodes", _on(_NODES, "SELECT user_id, CAST(host AS INT) AS host, role FROM nodes"))
@@ -746,7 +744,7 @@ _FIRES = {
 
 
 def _rule_fires(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    users = access_entities(access_events(spark, sf_dir)).users
+    users = entities_of(spark, sf_dir).users
     days = drift.with_day(features_of(spark, sf_dir))
     hits = days.where("label = 'normal' and hour_zscore >= 2.5").join(
         drift.active_users(users), "user_id", "left_semi")
@@ -794,5 +792,11 @@ def health_status(spark, sf_dir):
 
 @register("drift_scan")
 def drift_scan(spark, sf_dir):
-    users = access_entities(access_events(spark, sf_dir)).users
-    return drift.drift_scan(features_of(spark, sf_dir), users, DriftConfig(delta=0.5))
+    return drift.drift_scan(features_of(spark, sf_dir), entities_of(spark, sf_dir).users)
+
+
+@register("drift_scan_depth")
+def drift_scan_depth(spark, sf_dir):
+    """The same detector on a column that does drift in the test tables: the days of history."""
+    return drift.drift_scan(features_of(spark, sf_dir), entities_of(spark, sf_dir).users,
+                            DriftConfig(feature="entity_history_days"))

@@ -18,6 +18,7 @@ from wardline.operators.scoring import (
 )
 from wardline.operators.splits import three_way_split
 from wardline.plans.features import feature_table
+from wardline.sources.entities import Entities
 from wardline.sources.events import access_entities, access_events
 
 # Windows and caps that are busy on the test tables, whose events are hours apart.
@@ -41,10 +42,17 @@ def forget() -> None:
     _kept.clear()
 
 
+def entities_of(spark: SparkSession, sf_dir: str) -> Entities:
+    ent = access_entities(access_events(spark, sf_dir))
+    return Entities(*[kept(spark, f"entity {n}", sf_dir, lambda t=t: t) for n, t in (
+        ("users", ent.users), ("hosts", ent.hosts), ("devices", ent.devices), ("edges", ent.edges),
+        ("normal_hosts", ent.normal_hosts))])
+
+
 def features_of(spark: SparkSession, sf_dir: str, cfg: FeatureConfig = TEST_CONFIG) -> DataFrame:
     def build():
         events = access_events(spark, sf_dir)
-        return feature_table(events, access_entities(events), cfg)
+        return feature_table(events, entities_of(spark, sf_dir), cfg)
     return kept(spark, f"features:{cfg}", sf_dir, build)
 
 

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.config import CLASSES, FAMILIES, FEATURES, SIGNAL_FAMILY, DriftConfig, FeatureConfig
 from wardline.functions import scalars
 from wardline.functions.wording import fallback_strength, full_sentence
+from wardline.models.attribution import attributions
+from wardline.models.autoencoder import linear_score, network_score, train_autoencoder
+from wardline.models.boosted import random_forest_scores, score_boosted, train_boosted
+from wardline.models.forest import forest_score, train_forest
 from wardline.operators import alerts, drift, evaluate, graph, scoring, splits
 from wardline.operators.balance import class_weights, fill_medians, standardise, with_fill
 from wardline.operators.causal import enrich
-from wardline.operators.ranks import quantiles
+from wardline.operators.oversample import smote
 from wardline.operators.skew import union_all
 from wardline.plans import oracles as o
 from wardline.plans.results import (
@@ -800,3 +804,79 @@ def drift_scan_depth(spark, sf_dir):
     """The same detector on a column that does drift in the test tables: the days of history."""
     return drift.drift_scan(features_of(spark, sf_dir), entities_of(spark, sf_dir).users,
                             DriftConfig(feature="entity_history_days"))
+
+
+# ---- trained models (rows only: training has no SQL counterpart) --------------------------------
+
+def _ready(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Filled features, and the training normals among them."""
+    df = scored_of(spark, sf_dir)
+    df = with_fill(df, fill_medians(df.where("split = 'train_normal'")))
+    return df, df.where("split = 'train_normal'")
+
+
+@register("isolation_scores")
+def isolation_scores(spark, sf_dir):
+    df, train = _ready(spark, sf_dir)
+    return df.select("event_id", "split", forest_score(cut(train_forest(train, n_trees=100))).alias("iso_raw"))
+
+
+@register("autoencoder_scores")
+def autoencoder_scores(spark, sf_dir):
+    df, train = _ready(spark, sf_dir)
+    return df.select("event_id", "split", network_score(train_autoencoder(train, rounds=6)).alias("ae_raw"))
+
+
+@register("linear_reconstruction_scores")
+def linear_reconstruction_scores(spark, sf_dir):
+    df, train = _ready(spark, sf_dir)
+    return linear_score(df, train).select("event_id", "split", "linear_raw")
+
+
+def _train_split(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    df = results_of(spark, sf_dir)
+    df = with_fill(df, fill_medians(df.where("clf_split = 'train'")))
+    return df, df.where("clf_split = 'train'")
+
+
+@register("oversampled_classes", _on(o.results() | {
+    "c": "SELECT target, count(*) AS n FROM targets WHERE clf_split = 'train' GROUP BY 1"},
+    """SELECT target, (SELECT max(n) FROM c) AS n, (SELECT max(n) FROM c) - n AS n_synthetic FROM c"""))
+def oversampled_classes(spark, sf_dir):
+    """Class sizes after oversampling."""
+    _, train = _train_split(spark, sf_dir)
+    return smote(train).groupBy("target").agg(F.count(F.lit(1)).alias("n"),
+                                              F.count_if("synthetic").alias("n_synthetic"))
+
+
+def _boosted(spark, sf_dir):
+    df, train = _train_split(spark, sf_dir)
+    weighted = train.join(F.broadcast(class_weights(train)), "target")  # one row per class
+    model = train_boosted(weighted, rounds=4, depth=4, weight="weight")
+    plain = df.drop("probs", "pred_label", "confidence", "attack_prob", "raw_label", "raw_confidence")
+    return model, scoring.gate_classes(score_boosted(model, plain))
+
+
+@register("boosted_predictions")
+def boosted_predictions(spark, sf_dir):
+    return _boosted(spark, sf_dir)[1].select("event_id", "clf_split", "target", "pred_label", "confidence", "attack_prob")
+
+
+@register("forest_predictions")
+def forest_predictions(spark, sf_dir):
+    df, train = _train_split(spark, sf_dir)
+    plain = df.drop("probs", "pred_label", "confidence", "attack_prob", "raw_label", "raw_confidence")
+    out = scoring.gate_classes(random_forest_scores(train, plain, trees=20, depth=6))
+    return out.select("event_id", "clf_split", "target", "pred_label", "confidence", "attack_prob")
+
+
+@register("alert_attributions")
+def alert_attributions(spark, sf_dir):
+    model, scored = _boosted(spark, sf_dir)
+    return attributions(scored.where("pred_label <> 'normal'"), model)
+
+
+@register("alert_explanations")
+def alert_explanations(spark, sf_dir):
+    long = cut(alert_attributions(spark, sf_dir))
+    return alerts.top_factors(long).join(alerts.attribution_breakdown(long), "event_id")

@@ -56,7 +56,7 @@ def test_user_and_device_features(spark, sf_dir, folder):
 
 def test_drift(spark, sf_dir, folder):
     cfg = DriftConfig(feature="entity_history_days")
-    rows = features_of(spark, sf_dir).join(
+    rows = features_of(spark, sf_dir).where("label = 'normal'").join(
         entities_of(spark, sf_dir).users.where("not is_cold_start").select("user_id"), "user_id", "left_semi")
     batch = drift_scan(features_of(spark, sf_dir), entities_of(spark, sf_dir).users, cfg)
     online = _finish(spark, stateful.drift_fires(

@@ -93,8 +93,9 @@ def circular(n: str, s: str, c: str) -> tuple[str, str]:
 
 
 def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    return (f"(asin(sqrt(least(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * "
-            f"cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2), 1.0))) * 12742.0)")
+    chord = (f"(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * "
+             f"cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))")
+    return f"(asin(sqrt(CASE WHEN {chord} > 1 THEN 1.0 ELSE {chord} END)) * 12742.0)"
 
 
 def features(cfg: FeatureConfig = TEST_CONFIG) -> dict[str, str]:

@@ -230,7 +230,7 @@ def feature_means_by_attack(spark, sf_dir):
 
 @register("fill_medians", _scored("SELECT 'time_since_last_event_min' AS feature, "
           "quantile_cont(time_since_last_event_min, 0.5) AS fill FROM tagged WHERE split = 'train_normal' "
-          "HAVING count_if(time_since_last_event_min IS NULL) > 0"))
+          "HAVING count(*) FILTER (time_since_last_event_min IS NULL) > 0"))
 def fill_median_table(spark, sf_dir):
     return fill_medians(scored_of(spark, sf_dir).where("split = 'train_normal'"))
 
@@ -400,7 +400,7 @@ def class_ranking(spark, sf_dir):
 
 
 @register("confusion_matrix", _results("SELECT t.cls AS true_class, " + ", ".join(
-    f"count_if(pred_label = '{c}') AS pred_{c}" for c in CLASSES) +
+    f"count(*) FILTER (pred_label = '{c}') AS pred_{c}" for c in CLASSES) +
     " FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in CLASSES) + "]) AS cls) t "
     "LEFT JOIN (SELECT * FROM results WHERE clf_split = 'test') x ON x.target = t.cls GROUP BY t.cls"))
 def confusion_matrix(spark, sf_dir):
@@ -409,8 +409,8 @@ def confusion_matrix(spark, sf_dir):
 
 _REPORT = {
     "test": "SELECT * FROM results WHERE clf_split = 'test'",
-    "per": """SELECT c AS class, count_if(target = c) AS support, count_if(pred_label = c) AS called,
-        count_if(target = c AND pred_label = c) AS tp
+    "per": """SELECT c AS class, count(*) FILTER (target = c) AS support, count(*) FILTER (pred_label = c) AS called,
+        count(*) FILTER (target = c AND pred_label = c) AS tp
         FROM (SELECT DISTINCT target AS c FROM test UNION SELECT DISTINCT pred_label FROM test) CROSS JOIN test
         GROUP BY c""",
     "pr": """SELECT *, CASE WHEN called > 0 THEN tp / called::DOUBLE ELSE 0 END AS p,
@@ -455,7 +455,7 @@ def recall_comparison(spark, sf_dir):
     SELECT attack_type, count(*) AS n_incidents, CAST(sum(c) AS BIGINT) AS n_events,
       {o.r('sum(h) / sum(c)::DOUBLE', 3)} AS row_level_recall, {o.r('avg(a)', 3)} AS incident_recall_any_attack,
       {o.r('avg(b)', 3)} AS incident_recall_correct_type
-    FROM (SELECT target AS attack_type, attack_id, count(*) AS c, count_if(pred_label = target) AS h,
+    FROM (SELECT target AS attack_type, attack_id, count(*) AS c, count(*) FILTER (pred_label = target) AS h,
             max(CAST(pred_label <> 'normal' AS INT)) AS a, max(CAST(pred_label = target AS INT)) AS b
           FROM results WHERE clf_split = 'test' AND target <> 'normal' GROUP BY ALL) GROUP BY 1"""))
 def incident_rollup(spark, sf_dir):
@@ -489,19 +489,19 @@ def winning_rule(spark, sf_dir):
 
 
 @register("review_sweep", _results("""SELECT CAST(t.threshold AS INT) AS threshold,
-    count_if(label = 'normal' AND final_risk_score >= t.threshold) AS noise,
-    count_if(label = 'attack' AND pred_label = 'normal' AND final_risk_score >= t.threshold) AS recovered
+    count(*) FILTER (label = 'normal' AND final_risk_score >= t.threshold) AS noise,
+    count(*) FILTER (label = 'attack' AND pred_label = 'normal' AND final_risk_score >= t.threshold) AS recovered
     FROM (SELECT unnest([90, 95, 97, 98, 99]) AS threshold) t CROSS JOIN results WHERE clf_split = 'val' GROUP BY 1"""))
 def review_sweep(spark, sf_dir):
     return evaluate.review_sweep(results_of(spark, sf_dir).where("clf_split = 'val'"))
 
 
 @register("review_summary", _results("""SELECT
-    count_if(secondary_review_flag AND clf_split = 'test') AS n_test,
-    count_if(secondary_review_flag AND clf_split = 'test' AND label = 'attack') AS n_test_attack,
-    count_if(secondary_review_flag AND clf_split = 'test' AND label <> 'attack') AS n_test_noise,
-    count_if(secondary_review_flag) AS n_all,
-    count_if(secondary_review_flag AND label = 'attack') AS n_all_attack FROM results"""))
+    count(*) FILTER (secondary_review_flag AND clf_split = 'test') AS n_test,
+    count(*) FILTER (secondary_review_flag AND clf_split = 'test' AND label = 'attack') AS n_test_attack,
+    count(*) FILTER (secondary_review_flag AND clf_split = 'test' AND label <> 'attack') AS n_test_noise,
+    count(*) FILTER (secondary_review_flag) AS n_all,
+    count(*) FILTER (secondary_review_flag AND label = 'attack') AS n_all_attack FROM results"""))
 def review_summary(spark, sf_dir):
     return evaluate.review_summary(results_of(spark, sf_dir))
 
@@ -597,8 +597,8 @@ def entity_timeline_user(spark, sf_dir):
     return _feed_out(alerts.entity_timeline(results_of(spark, sf_dir), 7))
 
 
-@register("entity_summary", _results("""SELECT user_id, count(*) AS n_events, count_if(label = 'attack') AS n_true_attacks,
-    count_if(predicted_attack_type IS NOT NULL) AS n_flagged FROM results GROUP BY 1"""))
+@register("entity_summary", _results("""SELECT user_id, count(*) AS n_events, count(*) FILTER (label = 'attack') AS n_true_attacks,
+    count(*) FILTER (predicted_attack_type IS NOT NULL) AS n_flagged FROM results GROUP BY 1"""))
 def entity_summary(spark, sf_dir):
     return alerts.entity_summary(results_of(spark, sf_dir))
 
@@ -733,14 +733,14 @@ def lateral_users(spark, sf_dir):
 _FIRES = {
     "days": """SELECT f.*, CAST(floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM features)) / 86400000000.0) AS INT)
         AS day FROM features f""",
-    "fires": """SELECT user_id, min(day) AS day FROM days WHERE label = 'normal' AND hour_zscore >= 2.5
+    "fires": """SELECT user_id, min(day) AS day FROM days WHERE label = 'normal' AND hour_zscore >= 2.0
         AND user_id % 14 <> 13 GROUP BY 1""",
     "active": "SELECT DISTINCT user_id, drift_group FROM access WHERE NOT is_cold_start",
     "visible": f"""SELECT d.day, count(*) AS n_drifted_in_window, count(*) / (SELECT count(*) FROM active)::DOUBLE AS share
         FROM (SELECT unnest(range(0, (SELECT max(day) FROM fires) + 1)) AS day) d
         JOIN fires f ON f.day BETWEEN d.day - {DriftConfig().window_days} AND d.day GROUP BY 1""",
-    "val": """SELECT count_if(drift_group AND day IS NOT NULL) AS tp, count_if(NOT drift_group AND day IS NOT NULL) AS fp,
-        count_if(drift_group AND day IS NULL) AS fn, count_if(NOT drift_group AND day IS NULL) AS tn,
+    "val": """SELECT count(*) FILTER (drift_group AND day IS NOT NULL) AS tp, count(*) FILTER (NOT drift_group AND day IS NOT NULL) AS fp,
+        count(*) FILTER (drift_group AND day IS NULL) AS fn, count(*) FILTER (NOT drift_group AND day IS NULL) AS tn,
         CAST(min(CASE WHEN drift_group THEN day - 20 END) AS INT) AS lag_min,
         CAST(max(CASE WHEN drift_group THEN day - 20 END) AS INT) AS lag_max,
         avg(CASE WHEN drift_group THEN day - 20 END) AS lag_avg FROM active LEFT JOIN fires USING (user_id)""",
@@ -750,7 +750,7 @@ _FIRES = {
 def _rule_fires(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     users = entities_of(spark, sf_dir).users
     days = drift.with_day(features_of(spark, sf_dir))
-    hits = days.where("label = 'normal' and hour_zscore >= 2.5").join(
+    hits = days.where("label = 'normal' and hour_zscore >= 2.0").join(
         drift.active_users(users), "user_id", "left_semi")
     return drift.first_fires(hits), users
 

@@ -9,6 +9,8 @@ from wardline.config import CLASSES
 from wardline.functions.scalars import round_to, unified_score
 from wardline.operators.ranks import auc, quantiles
 from wardline.operators.scoring import is_normal
+from wardline.operators.skew import union_all
+from wardline.session import cut
 
 OVERALL = "overall"
 
@@ -20,25 +22,28 @@ def threshold(df: DataFrame, score: str, p: float, where: Column) -> DataFrame:
 
 def anomaly_report(scored: DataFrame, score: str) -> DataFrame:
     """(metric, attack_type, n, value): AUC, threshold, false-positive rate and recalls on everything
-    but the training normals, at the 95th percentile of the held-out normals."""
-    held = scored.where("split != 'train_normal'")
-    cut_row = threshold(scored, score, 0.95, F.col("split") == "holdout_normal")
-    flagged = held.join(F.broadcast(cut_row)).withColumn("_hit", (F.col(score) >= F.col("threshold")).cast("int"))
+    but the training normals, at the 95th percentile of the held-out normals.
+
+    The rows are read once, into counts per score and class; the report is made from the counts.
+    """
+    held = cut(scored.where("split != 'train_normal'").groupBy(score, "split", "label", "attack_type")
+               .agg(F.count(F.lit(1)).alias("c")))
+    cut_row = cut(quantiles(held.where("split = 'holdout_normal'"), score, {"threshold": 0.95}, weight="c"))
+    flagged = held.join(F.broadcast(cut_row))  # one row
+    share = F.sum(F.when(F.col(score) >= F.col("threshold"), F.col("c")).otherwise(0)) / F.sum("c")
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("long")
     recall = (flagged.where("label = 'attack'").rollup("attack_type")
-              .agg(F.grouping("attack_type").alias("_g"), F.count(F.lit(1)).alias("n"),
-                   F.avg("_hit").alias("value"))
+              .agg(F.grouping("attack_type").alias("_g"), F.sum("c").alias("n"), share.alias("value"))
               .select(F.lit("recall").alias("metric"),
                       F.when(F.col("_g") == 1, OVERALL).otherwise(F.col("attack_type")).alias("attack_type"),
                       "n", "value"))
-    fp = flagged.where(is_normal()).agg(F.count(F.lit(1)).alias("n"), F.avg("_hit").alias("value")).select(
-        F.lit("fp_rate").alias("metric"), F.lit(None).cast("string").alias("attack_type"), "n", "value")
-    area = auc(held, score, F.col("label") == "attack").select(
-        F.lit("roc_auc").alias("metric"), F.lit(None).cast("string").alias("attack_type"),
-        F.lit(None).cast("long").alias("n"), F.col("auc").alias("value"))
-    line = cut_row.select(F.lit("threshold").alias("metric"), F.lit(None).cast("string").alias("attack_type"),
-                          F.lit(None).cast("long").alias("n"), F.col("threshold").alias("value"))
-    return recall.unionByName(fp).unionByName(area).unionByName(line).withColumn(
-        "value", round_to(F.col("value"), 6))
+    fp = flagged.where(is_normal()).agg(F.sum("c").alias("n"), share.alias("value")).select(
+        F.lit("fp_rate").alias("metric"), text.alias("attack_type"), "n", "value")
+    area = auc(held, score, F.col("label") == "attack", "c").select(
+        F.lit("roc_auc").alias("metric"), text.alias("attack_type"), number.alias("n"), F.col("auc").alias("value"))
+    line = cut_row.select(F.lit("threshold").alias("metric"), text.alias("attack_type"), number.alias("n"),
+                          F.col("threshold").alias("value"))
+    return union_all([recall, fp, area, line]).withColumn("value", round_to(F.col("value"), 6))
 
 
 def cold_start_effect(scored: DataFrame) -> DataFrame:
@@ -67,7 +72,7 @@ def classification_report(df: DataFrame, target: str = "target", pred: str = "pr
 
     One aggregation to (target, prediction) counts; the rest works on at most classes^2 rows.
     """
-    pairs = df.groupBy(F.col(target).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("c"))
+    pairs = cut(df.groupBy(F.col(target).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("c")))
     sides = pairs.select(F.explode(F.array(
         F.struct(F.col("t").alias("class"), F.col("c").alias("support"), F.lit(0).cast("long").alias("called"),
                  F.when(F.col("t") == F.col("p"), F.col("c")).otherwise(0).alias("tp")),
@@ -139,15 +144,15 @@ def merge_rule_report(val: DataFrame, rules: tuple[str, ...] = ("mean", "max"),
     options = F.explode(F.array(*[
         F.struct(F.lit(r).alias("rule"), F.lit(i).alias("rule_order"), unified_score(a, b, r).alias("u"))
         for i, r in enumerate(rules)])).alias("o")
-    long = val.select("label", "attack_type", options).select("label", "attack_type", "o.*")
-    lines = quantiles(long.where(is_normal()), "u", {"threshold": 1 - target_fp}, ["rule"])
-    hits = long.join(F.broadcast(lines), "rule").withColumn("_hit", (F.col("u") >= F.col("threshold")).cast("int"))
-    fp = hits.where(is_normal()).groupBy("rule").agg(F.avg("_hit").alias("fp_rate"),
-                                                     F.first("threshold").alias("threshold"))
+    counts = cut(val.select("label", "attack_type", options).select("label", "attack_type", "o.*")
+                 .groupBy("label", "attack_type", "rule", "rule_order", "u").agg(F.count(F.lit(1)).alias("c")))
+    lines = quantiles(counts.where(is_normal()), "u", {"threshold": 1 - target_fp}, ["rule"], "c")
+    hits = counts.join(F.broadcast(lines), "rule")  # one row per rule
+    share = F.sum(F.when(F.col("u") >= F.col("threshold"), F.col("c")).otherwise(0)) / F.sum("c")
+    fp = hits.where(is_normal()).groupBy("rule").agg(share.alias("fp_rate"), F.max("threshold").alias("threshold"))
     recall = (hits.where("label = 'attack'")
               .withColumn("attack_type", F.explode(F.array("attack_type", F.lit(OVERALL))))
-              .groupBy("rule", "rule_order", "attack_type")
-              .agg(F.count(F.lit(1)).alias("n"), F.avg("_hit").alias("recall")))
+              .groupBy("rule", "rule_order", "attack_type").agg(F.sum("c").alias("n"), share.alias("recall")))
     return recall.join(F.broadcast(fp), "rule").withColumns(  # one row per rule
         {c: round_to(F.col(c), 6) for c in ("recall", "fp_rate", "threshold")})
 

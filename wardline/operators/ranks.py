@@ -36,20 +36,24 @@ def percentile_rank(df: DataFrame, score: str, out: str, is_reference: Column,
     return lookup(df, rank, score, broadcast_rows)
 
 
-def auc(df: DataFrame, score: str, positive: Column, max_rows: int = MAX_SORTED_ROWS) -> DataFrame:
-    """One row with the area under the ROC curve; ties count one half."""
-    counts = df.groupBy(score).agg(F.sum(positive.cast("long")).alias("p"),
-                                   F.sum((~positive).cast("long")).alias("n"))
+def auc(df: DataFrame, score: str, positive: Column, weight: str | None = None,
+        max_rows: int = MAX_SORTED_ROWS) -> DataFrame:
+    """One row with the area under the ROC curve; ties count one half. ``weight`` names a column with
+    the number of rows a row stands for."""
+    w = F.col(weight) if weight else F.lit(1)
+    counts = df.groupBy(score).agg(F.sum(F.when(positive, w).otherwise(0)).alias("p"),
+                                   F.sum(F.when(positive, 0).otherwise(w)).alias("n"))
     won = F.sum(F.col("p") * (F.col("before_n") + F.col("n") / 2.0))
     return _cumulate(counts, [], score, ["n"], max_rows).agg(
         (won / (F.sum("p") * F.sum("n").cast("double"))).alias("auc"))
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None,
-              max_rows: int = MAX_SORTED_ROWS) -> DataFrame:
+              weight: str | None = None, max_rows: int = MAX_SORTED_ROWS) -> DataFrame:
     """Exact linearly interpolated quantiles (``name -> p``) of a column, per group of ``by``."""
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+    w = F.col(weight) if weight else F.lit(1)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(w).cast("long").alias("c"))
     cum = cut(_cumulate(counts, by, value, ["c"], max_rows))
     sizes = cum.groupBy(*by).agg(F.sum("c").alias("_n"))
     cum = lookup(cum, sizes, by, max_rows) if by else cum.join(F.broadcast(sizes))  # one-row size

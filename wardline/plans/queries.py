@@ -849,10 +849,17 @@ def oversampled_classes(spark, sf_dir):
                                               F.count_if("synthetic").alias("n_synthetic"))
 
 
+_models: dict[tuple, object] = {}
+
+
 def _boosted(spark, sf_dir):
+    """The classifier is trained once per session and data folder."""
     df, train = _train_split(spark, sf_dir)
-    weighted = train.join(F.broadcast(class_weights(train)), "target")  # one row per class
-    model = train_boosted(weighted, rounds=4, depth=4, weight="weight")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _models:
+        weighted = train.join(F.broadcast(class_weights(train)), "target")  # one row per class
+        _models[key] = train_boosted(weighted, rounds=4, depth=4, weight="weight")
+    model = _models[key]
     plain = df.drop("probs", "pred_label", "confidence", "attack_prob", "raw_label", "raw_confidence")
     return model, scoring.gate_classes(score_boosted(model, plain))
 

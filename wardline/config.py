@@ -87,4 +87,4 @@ class DriftConfig:
     window_days: int = 7
     alert_fraction: float = 0.15
     # An entity's rows are fed to the detector in slices of at most this many rows.
-    max_rows_per_slice: int = 2_000_000
+    max_rows_per_slice: int = 5_000_000

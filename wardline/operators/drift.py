@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from wardline.config import DriftConfig
 from wardline.functions.adwin import Adwin
 from wardline.functions.scalars import day_offset, micros, round_to
-from wardline.operators.skew import WIDTHS
+from wardline.operators.skew import WIDTHS, union_all
 from wardline.session import cut
 
 
@@ -27,14 +27,10 @@ def active_users(users: DataFrame) -> DataFrame:
     return users.where(~F.coalesce("is_cold_start", F.lit(False))).select("user_id")
 
 
-def _slice_width(series: DataFrame, max_rows: int) -> int | None:
-    """Seconds per slice so that no entity has more than ``max_rows`` rows in one; None for one slice."""
-    per_user = series.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    if (per_user.agg(F.max("n")).first()[0] or 0) <= max_rows:
-        return None
-    heavy = per_user.where(F.col("n") > max_rows).select("user_id")
-    seconds = cut(series.join(heavy, "user_id", "left_semi").groupBy(
-        "user_id", F.floor(F.col("us") / 1_000_000).alias("s")).agg(F.count(F.lit(1)).alias("n")))
+def _slice_width(series: DataFrame, max_rows: int) -> int:
+    """Seconds per slice so that no user has more than ``max_rows`` rows in one."""
+    seconds = cut(series.groupBy("user_id", F.floor(F.col("us") / 1_000_000).alias("s"))
+                  .agg(F.count(F.lit(1)).alias("n")))
     for width in WIDTHS:
         worst = seconds.groupBy("user_id", F.floor(F.col("s") / width)).agg(F.sum("n").alias("n")).agg(F.max("n"))
         if worst.first()[0] <= max_rows:
@@ -55,8 +51,8 @@ def drift_scan(features: DataFrame, users: DataFrame, cfg: DriftConfig = DriftCo
     """(user_id, day): every day on which a user's detector fired, over normal rows of active users.
 
     The detector is sequential per user, with a state of logarithmic size. Users are spread over the
-    cluster. When some user has more rows than one task should hold, time is cut into slices, one
-    round per slice, and only the small states travel between rounds.
+    cluster. Users with more rows than one task should hold are fed in time slices, one round per
+    slice, and only their small states travel between rounds; the others are done in one round.
     """
     series = (with_day(features).where("label = 'normal'")
               .join(active_users(users), "user_id", "left_semi")
@@ -66,25 +62,27 @@ def drift_scan(features: DataFrame, users: DataFrame, cfg: DriftConfig = DriftCo
     schema = T.StructType([T.StructField("user_id", user_type), T.StructField("state", T.BinaryType()),
                            T.StructField("fires", T.ArrayType(T.IntegerType()))])
     scan = _scanner(cfg.delta)
-    spark = features.sparkSession
     series = cut(series)
-    width = _slice_width(series, cfg.max_rows_per_slice)
-    state = spark.createDataFrame([], T.StructType(schema.fields[:2]))
-    if width is None:
-        slices = [series]
-    else:
-        series = series.withColumn("_bin", F.floor(F.col("us") / 1_000_000 / width))
-        lo, hi = series.agg(F.min("_bin"), F.max("_bin")).first()
-        slices = [series.where(F.col("_bin") == b) for b in range(lo, hi + 1)]
-    fired = []
-    for rows in slices:
-        out = cut(state.groupBy("user_id").cogroup(rows.groupBy("user_id")).applyInPandas(scan, schema))
+    state = features.sparkSession.createDataFrame([], T.StructType(schema.fields[:2]))
+
+    def feed(state: DataFrame, rows: DataFrame) -> DataFrame:
+        return state.groupBy("user_id").cogroup(rows.groupBy("user_id")).applyInPandas(scan, schema)
+
+    per_user = series.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    heavy = cut(per_user.where(F.col("n") > cfg.max_rows_per_slice).select("user_id"))
+    if heavy.isEmpty():
+        return feed(state, series).select("user_id", F.explode("fires").alias("day"))
+    light = feed(state, series.join(heavy, "user_id", "left_anti"))
+    fired = [light.select("user_id", F.explode("fires").alias("day"))]
+    rest = cut(series.join(heavy, "user_id", "left_semi"))
+    width = _slice_width(rest, cfg.max_rows_per_slice)
+    rest = rest.withColumn("_bin", F.floor(F.col("us") / 1_000_000 / width))
+    lo, hi = rest.agg(F.min("_bin"), F.max("_bin")).first()
+    for number in range(lo, hi + 1):
+        out = cut(feed(state, rest.where(F.col("_bin") == number)))
         state = out.select("user_id", "state")
         fired.append(out.select("user_id", F.explode("fires").alias("day")))
-    days = fired[0]
-    for more in fired[1:]:
-        days = days.unionByName(more)
-    return days
+    return union_all(fired)
 
 
 def first_fires(fires: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.scalars import hash_percent
-from wardline.operators.skew import SLICE, Agg, fits, running
+from wardline.operators.skew import SLICE, Agg, fits, lookup, running
 from wardline.operators.ranks import MAX_SORTED_ROWS
 from wardline.session import cut
 
@@ -33,7 +33,7 @@ def three_way_split(df: DataFrame) -> DataFrame:
     sessions = session_split(df)
     pct = hash_percent(F.col("event_id"))
     own = F.when(pct < 20, "test").when(pct < 40, "val").otherwise("train")
-    attacks = df.where("attack_id is not null").join(sessions, "attack_id")
+    attacks = lookup(df.where("attack_id is not null"), sessions, "attack_id", MAX_SORTED_ROWS, "inner")
     normals = df.where("attack_id is null").withColumn("clf_split", own)
     return attacks.unionByName(normals)
 

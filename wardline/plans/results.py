@@ -6,6 +6,8 @@ that every step after the models (percentiles, blend, gate, merge, reports) can
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from wardline.operators.scoring import (
 )
 from wardline.operators.splits import three_way_split
 from wardline.plans.features import feature_table
+from wardline.session import checkpoint_dir
 from wardline.sources.entities import Entities
 from wardline.sources.events import access_entities, access_events
 
@@ -28,11 +31,20 @@ TEST_CONFIG = FeatureConfig(lateral_window_s=3 * 86_400, failure_window_s=86_400
 _kept: dict[tuple, DataFrame] = {}
 
 
-def kept(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
-    """A table shared by many queries, persisted once per session and data folder."""
+def kept(spark: SparkSession, name: str, sf_dir: str, build, written: bool = True) -> DataFrame:
+    """A table shared by many queries, built once per session and data folder.
+
+    Written to the shared folder, so that readers prune columns, the lineage is cut and a lost
+    executor costs nothing; small dimension tables are persisted instead.
+    """
     key = (spark.sparkContext.applicationId, name, sf_dir)
     if key not in _kept:
-        _kept[key] = build().persist()
+        if written:
+            path = f"{checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
+            build().write.parquet(path)
+            _kept[key] = spark.read.parquet(path)
+        else:
+            _kept[key] = build().persist()
     return _kept[key]
 
 
@@ -44,7 +56,7 @@ def forget() -> None:
 
 def entities_of(spark: SparkSession, sf_dir: str) -> Entities:
     ent = access_entities(access_events(spark, sf_dir))
-    return Entities(*[kept(spark, f"entity {n}", sf_dir, lambda t=t: t) for n, t in (
+    return Entities(*[kept(spark, f"entity {n}", sf_dir, lambda t=t: t, False) for n, t in (
         ("users", ent.users), ("hosts", ent.hosts), ("devices", ent.devices), ("edges", ent.edges),
         ("normal_hosts", ent.normal_hosts))])
 
@@ -79,9 +91,7 @@ def rule_probabilities(df: DataFrame) -> DataFrame:
 
 def scored_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
-        tagged = kept(spark, "tagged", sf_dir,
-                      lambda: tag_training_split(rule_scores(features_of(spark, sf_dir))))
-        df = kept(spark, "ensemble", sf_dir, lambda: ensemble(tagged))
+        df = ensemble(tag_training_split(rule_scores(features_of(spark, sf_dir))))
         return blend_cold_start(df, population_reference(df))
     return kept(spark, "scored", sf_dir, build)
 

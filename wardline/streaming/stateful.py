@@ -26,40 +26,37 @@ US = 1_000_000
 class InOrder(StatefulProcessor):
     """Holds rows back until the watermark passes them; subclasses handle one row at a time."""
 
-    def __init__(self, columns: list[str], schema: T.StructType, out: list[str]):
-        self.columns, self.schema, self.out = columns, schema, out
+    def __init__(self, columns: list[str], out: list[str]):
+        self.columns, self.out = columns, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        # One entry and one timer per second with rows; a timer touches its own entry only.
+        self.waiting = handle.getMapState("waiting", "due long", "rows binary")
         self.open(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new, due = [], set()
+        new: dict[int, list] = {}
         for frame in rows:
             for r in frame[self.columns].itertuples(index=False, name=None):
                 r = tuple(None if v is None or v is pd.NaT or v != v else
                           v.item() if hasattr(v, "item") else v for v in r)
-                new.append(r)
-                due.add(r[0] // 1000 + 1)
-        if new:
-            self.waiting.appendList(new)
-            for ms in due:
-                self.handle.registerTimer(ms)
+                new.setdefault((r[0] // US + 1) * 1000, []).append(r)
+        for due, added in new.items():
+            if self.waiting.containsKey((due,)):
+                added = pickle.loads(bytes(self.waiting.getValue((due,))[0])) + added
+            self.waiting.updateValue((due,), (pickle.dumps(added),))
+            self.handle.registerTimer(due)
         yield pd.DataFrame(columns=self.out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = sorted(r for r in rows if r[0] // 1000 + 1 <= passed)
-        if not ready:
+        """Timers of a key expire in time order, so its seconds are handled one after the other."""
+        due = (expiredTimerInfo.getExpiryTimeInMs(),)
+        if not self.waiting.containsKey(due):
             yield pd.DataFrame(columns=self.out)
             return
-        keep = [r for r in rows if r[0] // 1000 + 1 > passed]
-        if keep:
-            self.waiting.put(keep)
-        else:
-            self.waiting.clear()
+        ready = sorted(pickle.loads(bytes(self.waiting.getValue(due)[0])), key=lambda r: r[:2])
+        self.waiting.removeKey(due)
         self.load()
         done = [o for r in ready for o in self.row(key[0], dict(zip(self.columns, r)))]
         self.store()
@@ -69,10 +66,6 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def _schema(df: DataFrame, columns: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, df.schema[c].dataType) for c in columns])
-
-
 def _run(df: DataFrame, key: str, processor: StatefulProcessor, out: T.StructType) -> DataFrame:
     return df.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="EventTime")
@@ -118,8 +111,8 @@ USER_OUTPUT = ("hour_zscore double, geo_distance_km double, geo_velocity_kmh dou
 class UserFeatures(InOrder):
     """State per user: one value (depth, last event, recent hours, bursts) and a map of things seen."""
 
-    def __init__(self, cfg: FeatureConfig, schema: T.StructType, out: list[str]):
-        super().__init__(USER_INPUT, schema, out)
+    def __init__(self, cfg: FeatureConfig, out: list[str]):
+        super().__init__(USER_INPUT, out)
         self.cfg = cfg
 
     def open(self, handle) -> None:
@@ -189,7 +182,7 @@ def user_features(events: DataFrame, delay: str = "10 minutes", cfg: FeatureConf
     fields = [T.StructField("user_id", df.schema["user_id"].dataType),
               T.StructField("event_id", df.schema["event_id"].dataType), T.StructField("ts", T.TimestampType())]
     out = T.StructType(fields + T._parse_datatype_string(USER_OUTPUT).fields)
-    processor = UserFeatures(cfg, _schema(df, USER_INPUT), out.names)
+    processor = UserFeatures(cfg, out.names)
     return _run(df.select("user_id", "ts", *USER_INPUT), "user_id", processor, out)
 
 
@@ -237,7 +230,7 @@ def fingerprint_mismatch(events: DataFrame, delay: str = "10 minutes") -> DataFr
                         T.StructField("event_id", df.schema["event_id"].dataType),
                         T.StructField("ts", T.TimestampType()), T.StructField("fingerprint_mismatch", T.IntegerType())])
     return _run(df.select("device_id", "ts", *columns), "device_id",
-                FingerprintHistory(columns, _schema(df, columns), out.names), out)
+                FingerprintHistory(columns, out.names), out)
 
 
 # ---- drift -----------------------------------------------------------------------------------------
@@ -245,8 +238,8 @@ def fingerprint_mismatch(events: DataFrame, delay: str = "10 minutes") -> DataFr
 class DriftDetector(InOrder):
     """State per user: the change detector and whether it has fired before."""
 
-    def __init__(self, delta: float, columns, schema, out):
-        super().__init__(columns, schema, out)
+    def __init__(self, delta: float, columns, out):
+        super().__init__(columns, out)
         self.delta = delta
 
     def open(self, handle) -> None:
@@ -272,4 +265,4 @@ def drift_fires(features: DataFrame, delay: str = "10 minutes", cfg: DriftConfig
     out = T.StructType([T.StructField("user_id", df.schema["user_id"].dataType),
                         T.StructField("ts", T.TimestampType()), T.StructField("is_first", T.BooleanType())])
     return _run(df.select("user_id", "ts", *columns), "user_id",
-                DriftDetector(cfg.delta, columns, _schema(df, columns), out.names), out)
+                DriftDetector(cfg.delta, columns, out.names), out)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -19,23 +20,28 @@ from wardline.models.boosted import BoostedModel
 from wardline.session import checkpoint_dir
 
 
+_built: dict[int, tuple] = {}
+
+
 def _leaves(spark: SparkSession, model: BoostedModel) -> dict[str, list]:
-    """Per class: (value, [(feature, low, high, share of cover)]) of every leaf.
+    """Per class: (value, [(feature, low, high, share of cover)]) of every leaf; built once per model.
 
-    Read from the saved form of the model, which has rounds x 2^(depth+1) nodes at most.
+    Read from the saved form of the model, which has rounds x 2^(depth+1) nodes per class at most.
     """
+    if id(model) in _built:
+        return _built[id(model)][1]
     folder = f"{checkpoint_dir(spark)}/trees-{uuid.uuid4().hex}"
-    out: dict[str, list] = {}
-    for c, m in model.models.items():
-        m.save(f"{folder}/{c}")
-        weights = {i: float(w) for i, w in enumerate(m.treeWeights)}
-        rows = spark.read.parquet(f"{folder}/{c}/data").select("treeID", "nodeData.*").collect()
-        trees: dict[int, dict] = {}
-        for r in rows:
-            trees.setdefault(r["treeID"], {})[r["id"]] = r
-        out[c] = []
-        for t, nodes in trees.items():
-            _walk(nodes, 0, {}, 2 * weights[t], out[c])
+    with ThreadPoolExecutor(len(model.models)) as pool:
+        list(pool.map(lambda cm: cm[1].save(f"{folder}/class={cm[0]}/model"), model.models.items()))
+    rows = spark.read.parquet(*[f"{folder}/class={c}/model/data" for c in model.models]).select(
+        F.regexp_extract(F.input_file_name(), "class=([^/]+)/", 1).alias("cls"), "treeID", "nodeData.*").collect()
+    trees: dict[tuple, dict] = {}
+    for r in rows:
+        trees.setdefault((r["cls"], r["treeID"]), {})[r["id"]] = r
+    out: dict[str, list] = {c: [] for c in model.models}
+    for (c, t), nodes in sorted(trees.items()):
+        _walk(nodes, 0, {}, 2 * float(model.models[c].treeWeights[t]), out[c])
+    _built[id(model)] = (model, out)
     return out
 
 

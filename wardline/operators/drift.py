@@ -47,12 +47,28 @@ def _scanner(delta: float):
     return scan
 
 
+def _one_pass(delta: float):
+    """Fires of a partition sorted by user and time: one detector at a time, whatever the group sizes."""
+    def scan(batches):
+        user = detector = None
+        for batch in batches:
+            users, days = [], []
+            for u, day, x in zip(batch["user_id"], batch["day"], batch["x"]):
+                if detector is None or u != user:
+                    user, detector = u, Adwin(delta)
+                if detector.update(float(x)):
+                    users.append(u)
+                    days.append(day)
+            yield pd.DataFrame({"user_id": users, "day": days}).astype({"day": "int32"})
+    return scan
+
+
 def drift_scan(features: DataFrame, users: DataFrame, cfg: DriftConfig = DriftConfig()) -> DataFrame:
     """(user_id, day): every day on which a user's detector fired, over normal rows of active users.
 
     The detector is sequential per user, with a state of logarithmic size. Users are spread over the
-    cluster. Users with more rows than one task should hold are fed in time slices, one round per
-    slice, and only their small states travel between rounds; the others are done in one round.
+    cluster and read as a sorted stream. Users with more rows than one task should see are fed in time
+    slices, one round per slice, and only their small states travel between rounds.
     """
     series = (with_day(features).where("label = 'normal'")
               .join(active_users(users), "user_id", "left_semi")
@@ -65,21 +81,23 @@ def drift_scan(features: DataFrame, users: DataFrame, cfg: DriftConfig = DriftCo
     series = cut(series)
     state = features.sparkSession.createDataFrame([], T.StructType(schema.fields[:2]))
 
-    def feed(state: DataFrame, rows: DataFrame) -> DataFrame:
-        return state.groupBy("user_id").cogroup(rows.groupBy("user_id")).applyInPandas(scan, schema)
+    def whole(rows: DataFrame) -> DataFrame:
+        ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "us", "event_id")
+        return ordered.select("user_id", "day", "x").mapInPandas(
+            _one_pass(cfg.delta), T.StructType([schema["user_id"], T.StructField("day", T.IntegerType())]))
 
     per_user = series.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     heavy = cut(per_user.where(F.col("n") > cfg.max_rows_per_slice).select("user_id"))
     if heavy.isEmpty():
-        return feed(state, series).select("user_id", F.explode("fires").alias("day"))
-    light = feed(state, series.join(heavy, "user_id", "left_anti"))
-    fired = [light.select("user_id", F.explode("fires").alias("day"))]
+        return whole(series)
+    fired = [whole(series.join(heavy, "user_id", "left_anti"))]
     rest = cut(series.join(heavy, "user_id", "left_semi"))
     width = _slice_width(rest, cfg.max_rows_per_slice)
     rest = rest.withColumn("_bin", F.floor(F.col("us") / 1_000_000 / width))
     lo, hi = rest.agg(F.min("_bin"), F.max("_bin")).first()
     for number in range(lo, hi + 1):
-        out = cut(feed(state, rest.where(F.col("_bin") == number)))
+        rows = rest.where(F.col("_bin") == number)
+        out = cut(state.groupBy("user_id").cogroup(rows.groupBy("user_id")).applyInPandas(scan, schema))
         state = out.select("user_id", "state")
         fired.append(out.select("user_id", F.explode("fires").alias("day")))
     return union_all(fired)

@@ -24,7 +24,7 @@ def duck(sf_dir):
 
 
 def _plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     v = v.item() if hasattr(v, "item") else v
     return round(v, 6) + 0.0 if isinstance(v, float) else v

@@ -31,7 +31,7 @@ def anomaly_report(scored: DataFrame, score: str) -> DataFrame:
     cut_row = cut(quantiles(held.where("split = 'holdout_normal'"), score, {"threshold": 0.95}, weight="c"))
     flagged = held.join(F.broadcast(cut_row))  # one row
     share = F.sum(F.when(F.col(score) >= F.col("threshold"), F.col("c")).otherwise(0)) / F.sum("c")
-    text, number = F.lit(None).cast("string"), F.lit(None).cast("long")
+    text = F.lit(None).cast("string")
     recall = (flagged.where("label = 'attack'").rollup("attack_type")
               .agg(F.grouping("attack_type").alias("_g"), F.sum("c").alias("n"), share.alias("value"))
               .select(F.lit("recall").alias("metric"),
@@ -39,10 +39,13 @@ def anomaly_report(scored: DataFrame, score: str) -> DataFrame:
                       "n", "value"))
     fp = flagged.where(is_normal()).agg(F.sum("c").alias("n"), share.alias("value")).select(
         F.lit("fp_rate").alias("metric"), text.alias("attack_type"), "n", "value")
-    area = auc(held, score, F.col("label") == "attack", "c").select(
-        F.lit("roc_auc").alias("metric"), text.alias("attack_type"), number.alias("n"), F.col("auc").alias("value"))
-    line = cut_row.select(F.lit("threshold").alias("metric"), text.alias("attack_type"), number.alias("n"),
-                          F.col("threshold").alias("value"))
+    sizes = held.agg(F.sum("c").alias("_held"), F.sum(F.when(is_normal(), F.col("c"))).alias("_normal"))
+    area = auc(held, score, F.col("label") == "attack", "c").join(F.broadcast(sizes)).select(  # one row each
+        F.lit("roc_auc").alias("metric"), text.alias("attack_type"), F.col("_held").alias("n"),
+        F.col("auc").alias("value"))
+    line = cut_row.join(F.broadcast(sizes)).select(
+        F.lit("threshold").alias("metric"), text.alias("attack_type"), F.col("_normal").alias("n"),
+        F.col("threshold").alias("value"))
     return union_all([recall, fp, area, line]).withColumn("value", round_to(F.col("value"), 6))
 
 

@@ -358,8 +358,8 @@ def _report_sql(score: str) -> str:
         SELECT 'recall' AS metric, coalesce(attack_type, 'overall') AS attack_type, count(*) AS n,
           {o.r('avg(hit)', 6)} AS value FROM hits WHERE label = 'attack' GROUP BY ROLLUP (attack_type)
         UNION ALL SELECT 'fp_rate', NULL, count(*), {o.r('avg(hit)', 6)} FROM hits WHERE label = 'normal'
-        UNION ALL SELECT 'roc_auc', NULL, NULL, {o.r('a', 6)} FROM pairs
-        UNION ALL SELECT 'threshold', NULL, NULL, {o.r('t', 6)} FROM line""")
+        UNION ALL SELECT 'roc_auc', NULL, (SELECT count(*) FROM held), {o.r('a', 6)} FROM pairs
+        UNION ALL SELECT 'threshold', NULL, (SELECT count(*) FROM held WHERE label = 'normal'), {o.r('t', 6)} FROM line""")
 
 
 @register("anomaly_report_raw", _report_sql("ensemble_score_raw"))

@@ -21,7 +21,7 @@ from wardline.operators.oversample import smote
 from wardline.operators.skew import union_all
 from wardline.plans import oracles as o
 from wardline.plans.results import (
-    TEST_CONFIG, entities_of, features_of, results_of, rule_probabilities, scored_of,
+    TEST_CONFIG, entities_of, features_of, results_of, scored_of,
 )
 from wardline.session import cut
 from wardline.sources.entities import host_owners

@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.llm import language, quality, toxicity
 from wardline.llm.byte_bpe import encode_decode
 from wardline.llm.decontaminate import decontaminate
 from wardline.llm.line_dedup import dedup_lines
+from wardline.llm.search import bm25
+from wardline.llm.secret_scan import scan_secrets
 from wardline.llm.simhash import near_groups
 from wardline.llm.tables import table
 from wardline.llm.token_files import document_index, write_token_files
@@ -42,11 +45,35 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as
 from d left join words using (doc_id) left join items using (doc_id)"""
 
 
+def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25(table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0)
+
+
+OP2_SQL = """
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+n as (select count(*) as n, avg(len(w)) as mean from d),
+tf as (select doc_id, t, count(*) as tf, any_value(dl) as dl from (select doc_id, len(w) as dl, unnest(w) as t from d) group by all),
+df as (select t, ln(1 + (n.n - count(*) + 0.5) / (count(*) + 0.5)) as idf from tf, n group by t, n.n),
+s as (select q.doc_id as query_id, tf.doc_id,
+             round(sum(idf * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * tf.dl / n.mean))), 6) as score
+      from tf q join df using (t) join tf using (t), n where q.doc_id % 100 = 0 group by all)
+select query_id, rank, doc_id, score
+from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 10"""
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    found = toxicity.score_toxicity(docs, model)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_OF_DOCUMENT)
     return document_index(files)
@@ -56,6 +83,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~quality.held_out())
+    found = quality.score_quality(docs, model)
+    return found.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"),
@@ -77,11 +115,14 @@ select documents.doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(c
        cast(length(s.text) as bigint) as n_chars, sha256(s.text) as text_sha256
 from documents left join s using (doc_id)"""
 
-QUERIES = {
-    "op1_decontamination": op1_decontamination,
-    "op3_simhash": op3_simhash,
-    "op5_token_files": op5_token_files,
-    "op6_byte_bpe": op6_byte_bpe,
-    "op9_line_dedup": op9_line_dedup,
-}
-ORACLES = {"op1_decontamination": OP1_SQL, "op9_line_dedup": OP9_SQL}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs, ~language.held_out())
+    found = language.predict_language(docs, model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_decontamination, op2_search, op3_simhash, op4_toxicity, op5_token_files, op6_byte_bpe, op7_secrets, op8_quality,
+    op9_line_dedup, op10_language)}
+ORACLES = {"op1_decontamination": OP1_SQL, "op2_search": OP2_SQL, "op9_line_dedup": OP9_SQL}

@@ -25,7 +25,7 @@ from wardline.llm.tables import chunks, id_crc
 
 POSITIVES, UNLABELLED = 4000, 8000
 THRESHOLD = 0.3
-STEPS, RATE, DECAY, TOLERANCE, MARGIN = 1500, 0.05, 1e-3, 0.0, 0.02
+STEPS, RATE, DECAY, TOLERANCE, MARGIN = 1500, 0.05, 1e-3, 0.0, 0.1
 FEATURES = ("letters", "capitals", "digits", "marks", "spaces", "repeated_word", "same_word", "bars", "marked_words",
             "capital_words", "mean_word", "short_words", "long_words", "sentence", "lines")
 

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from wardline.llm.ragged import Memo, Pieces
 from wardline.llm.tables import chunks, id_crc
 
-TOXIC, CLEAN, CANDIDATES, NEGATIVES = 2000, 10_000, 3000, 3000
-LANDMARKS, SPAN, DECAY, CONTEXTS, ODDS = 200, 8, 0.5, 3, 10
+TOXIC, CLEAN, CANDIDATES, NEGATIVES, HARD = 2000, 10_000, 3000, 3000, 600
+LANDMARKS, SPAN, DECAY, CONTEXTS, ODDS = 300, 8, 0.5, 3, 10
 THRESHOLD, FLOOR = 0.3, -3.0
 LETTERS = 32
 GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
@@ -122,13 +122,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * decisions + self.shift, -40, 40)))
 
 
-def fit_words(positive: list[str], negative: list[str], seed: int = 3) -> Model:
+def fit_words(positive: list[str], negative: list[str], hard: list[str] = (), seed: int = 3) -> Model:
+    """``hard``: negative words that a first model took for positive ones; some become landmarks."""
     if not positive or not negative:
         return Model(np.zeros(LETTERS ** 3), -1.0)
     rng = np.random.default_rng(seed)
-    words = positive + negative
-    y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
-    marks = positive[:LANDMARKS // 2]
+    words = [*positive, *negative, *hard]
+    y = np.concatenate((np.ones(len(positive)), -np.ones(len(words) - len(positive))))
+    marks = [*positive[:LANDMARKS // 2], *hard[:LANDMARKS // 4]]
     marks = marks + [negative[i] for i in rng.permutation(len(negative))[:LANDMARKS - len(marks)].tolist()]
     z = word_vectors(marks)
     kernel = np.concatenate([word_vectors(words[i:i + 250]) @ z.T for i in range(0, len(words), 250)]).astype(float)
@@ -136,7 +137,7 @@ def fit_words(positive: list[str], negative: list[str], seed: int = 3) -> Model:
     own = values > 1e-6 * values.max()
     lift = vectors[:, own] / np.sqrt(values[own])
     x = np.concatenate((kernel @ lift, np.ones((len(words), 1))), axis=1)
-    cost = np.where(y > 0, 1 / len(positive), 1 / len(negative)) * len(words)
+    cost = np.where(y > 0, 1 / len(positive), 1 / (len(words) - len(positive))) * len(words)
     w = np.zeros(x.shape[1])
     for _ in range(30):
         on = y * (x @ w) < 1
@@ -154,6 +155,19 @@ def _words(docs: DataFrame) -> DataFrame:
             .select("word", F.when(F.col("at") > 0, F.get("w", F.col("at") - 1)).otherwise("").alias("before")))
 
 
+def _hard_words(clean: DataFrame, model: Model) -> list[str]:
+    """The clean words that the model is surest of, of at most ``HARD``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch["word"].to_pylist()
+            if words:
+                yield pa.RecordBatch.from_arrays([batch["word"], pa.array(model.decide(words))], ["word", "decision"])
+
+    found = (_words(clean).select("word").distinct().mapInArrow(run, "word string, decision double")
+             .where("decision > -0.5").orderBy(F.desc("decision"), "word").limit(HARD))
+    return [r["word"] for r in found.collect()]
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     """``usable``: a condition on doc_id for rows whose labels may be seen."""
     marked = labels.where(usable & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -177,7 +191,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     common = [r["word"] for r in rows if r["seen"] * n_bad * 2 >= r["contexts"] * n_good]
     rare = [r["word"] for r in _words(some(0, TOXIC)).select("word").distinct().orderBy(F.xxhash64("word"), "word")
             .limit(NEGATIVES).collect()]
-    model = fit_words(telling, sorted({*common, *rare} - {*telling}))
+    negative = sorted({*common, *rare} - {*telling})
+    model = fit_words(telling, negative)
+    hard = _hard_words(some(0, TOXIC), model)
+    if hard:
+        model = fit_words(telling, negative, sorted({*hard} - {*telling}))
     scored = (decisions(bad.withColumn("toxic", F.lit(1)).unionByName(some(0, TOXIC).withColumn("toxic", F.lit(0))), model)
               .orderBy("doc_id").limit(2 * TOXIC).select("toxic", "decision").collect())
     d, t = np.array([r["decision"] for r in scored]), np.array([r["toxic"] for r in scored], float)

@@ -91,3 +91,49 @@ def test_byte_bpe(spark, sf_dir, documents):
     assert got.n_tokens.tolist() == [len(i) for i in ids]
     assert got.ids_sha256.tolist() == [hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest() for i in ids]
     assert got.decoded_sha256.tolist() == [hashlib.sha256(t.encode()).hexdigest() for t in documents.text]
+
+
+def simple_line_dedup(rows):
+    """rows: (doc_id, text) by doc_id. Later occurrences of three lines go."""
+    met, out = {}, []
+    for doc_id, text in rows:
+        lines, gone = text.split("\n"), set()
+        for i in range(len(lines) - 2):
+            window = tuple(lines[i:i + 3])
+            if any(line.strip(" ") for line in window) and met.setdefault(window, (doc_id, i)) != (doc_id, i):
+                gone |= {i, i + 1, i + 2}
+        out.append((doc_id, "\n".join(line for i, line in enumerate(lines) if i not in gone)))
+    return out
+
+
+def simple_words(text):
+    import re
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+
+
+def test_pipeline(spark, sf_dir, documents):
+    """run() against plain Python, the trained model aside: its verdicts are taken from the operator."""
+    import tiktoken
+
+    import corpus_pipeline
+    from wardline.llm.byte_bpe import load_ranks
+    from wardline.llm.tables import table
+
+    good = {r.doc_id for r in corpus_pipeline.keep_good_text(spark, table(spark, sf_dir, "documents"), sf_dir).collect()}
+    labels = pd.read_parquet(f"{sf_dir}/labels.parquet")
+    assert labels[labels.quality == 1].doc_id.isin(good).mean() > 0.95 and labels[labels.quality == 0].doc_id.isin(good).mean() < 0.3
+    rows = simple_line_dedup([(i, t) for i, t in zip(documents.doc_id, documents.text, strict=True) if i in good])
+    ids = [r[0] for r in rows]
+    rows = [r for r, c in zip(rows, simple_components(ids, [simple_fingerprint(r[1]) for r in rows]), strict=True) if c == r[0]]
+    windows = set()
+    for t in pd.read_parquet(f"{sf_dir}/benchmark.parquet").text:
+        w = simple_words(t)
+        windows |= {tuple(w[i:i + 10]) for i in range(max(1, len(w) - 9))} - {()}
+    sizes = {len(w) for w in windows}
+    rows = [(i, t) for i, t in rows for w in [simple_words(t)]
+            if not any(tuple(w[p:p + n]) in windows for n in sizes for p in range(len(w) - n + 1))]
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                            mergeable_ranks=load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    got = {r.doc_id: (r.ids, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert got == {i: (own.encode_ordinary(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows}
+    assert 0 < len(got) < len(documents)

@@ -42,17 +42,14 @@ def covered_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the text after removal, and n_lines, n_removed."""
+    """``docs`` with the text after removal, and, after its own columns, n_lines, n_removed."""
     cover = covered_lines(docs, doc_id, text)
-    columns = [c for c in docs.columns if c != text]
-    base = docs.select([F.col(c).alias(f"in_{c}") for c in columns]
-                       + [F.col(text).alias("in_text"), text_key(F.col(text)).alias("in_version")])
-    joined = base.join(cover, F.col(f"in_{doc_id}").eqNullSafe(F.col("doc"))
-                       & (F.col("in_version") == F.col("version")), "left")
-    lines = F.split("in_text", "\n", -1)
+    base = docs.select(F.struct("*").alias("row"), text_key(F.col(text)).alias("key"))  # no name of ``docs`` meets one of ours
+    joined = base.join(cover, F.col(f"row.{doc_id}").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("version")), "left")
+    lines = F.split(f"row.{text}", "\n", -1)
     rest = F.concat_ws("\n", F.filter(lines, lambda _, i: ~F.array_contains("covered", i)))
+    rest = F.when(F.col("covered").isNull(), F.col(f"row.{text}")).otherwise(rest)
     return joined.select(
-        *[F.col(f"in_{c}").alias(c) for c in columns],
-        F.when(F.col("covered").isNull(), F.col("in_text")).otherwise(rest).alias(text),
+        *[rest.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long").alias("n_removed"))

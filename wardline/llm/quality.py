@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.tables import chunks, id_crc
+from wardline.llm.tables import by_chunk, chunks, id_crc
 
 POSITIVES, UNLABELLED = 4000, 8000
 THRESHOLD = 0.3
@@ -140,18 +140,28 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     return fit_rows(rows(good, POSITIVES), rows(text.where(usable).select("doc_id"), UNLABELLED))
 
 
-def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` and score (0 to 1, higher is better), predicted (1: good)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in chunks(batch, "text"):
-                score = model.score(np.array([features(t) for t in rows["text"].to_pylist()]).reshape(-1, len(FEATURES)))
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))],
-                    [*rows.schema.names, "score", "predicted"])
+def quality_score(text: Column, model: Model) -> Column:
+    """The score of a text: 0 to 1, higher is better."""
+    def run(texts: pa.Array) -> np.ndarray:
+        return model.score(np.array([features(t) for t in texts.to_pylist()]).reshape(-1, len(FEATURES)))
 
-    schema = docs.schema
-    return docs.mapInArrow(run, type(schema)([*schema.fields]).add("score", "double").add("predicted", "integer"))
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(by_chunk(run, texts))
+
+    return score(text)
+
+
+def score_quality(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score, predicted (1: good)."""
+    return (docs.select(F.col(doc_id).alias("doc_id"), quality_score(F.col(text), model).alias("score"))
+            .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the model accepts, with all their columns."""
+    return docs.where(quality_score(F.col("text"), model) >= threshold)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -95,7 +95,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents"))
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"),
                         F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
@@ -122,7 +122,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_search, op3_simhash, op4_toxicity, op5_token_files, op6_byte_bpe, op7_secrets, op8_quality,
-    op9_line_dedup, op10_language)}
+    op9_line_dedup, op10_language, pipeline)}
 ORACLES = {"op1_decontamination": OP1_SQL, "op2_search": OP2_SQL, "op9_line_dedup": OP9_SQL}

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,17 +44,22 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` with about ``limit`` bytes of ``column``, one row at least, so that memory does not follow row sizes."""
-    if batch.num_rows == 0:
-        return
-    import numpy as np
-    import pyarrow.compute as pc
-
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False))
+def _cuts(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     start = 0
-    while start < batch.num_rows:
+    while start < len(texts):
         before = sizes[start - 1] if start else 0
         end = max(start + 1, int(np.searchsorted(sizes, before + limit, side="right")))
-        yield batch.slice(start, end - start)
+        yield start, end
         start = end
+
+
+def chunks(batch: pa.RecordBatch, column: str, limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with about ``limit`` bytes of ``column``, one row at least, so that memory does not follow row sizes."""
+    for start, end in _cuts(batch[column], limit):
+        yield batch.slice(start, end - start)
+
+
+def by_chunk(run, texts: pa.Array, limit: int = 6 << 20) -> np.ndarray:
+    """What ``run`` gives for slices of ``texts``, end to end."""
+    return np.concatenate([run(texts.slice(a, b - a)) for a, b in _cuts(texts, limit)] or [np.empty(0)])

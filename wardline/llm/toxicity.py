@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.ragged import Memo, Pieces
-from wardline.llm.tables import chunks, id_crc
+from wardline.llm.tables import by_chunk, id_crc
 
 TOXIC, CLEAN, CANDIDATES, NEGATIVES, HARD = 2000, 10_000, 3000, 3000, 600
 LANDMARKS, SPAN, DECAY, CONTEXTS, ODDS = 300, 8, 0.5, 3, 10
@@ -196,8 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     hard = _hard_words(some(0, TOXIC), model)
     if hard:
         model = fit_words(telling, negative, sorted({*hard} - {*telling}))
-    scored = (decisions(bad.withColumn("toxic", F.lit(1)).unionByName(some(0, TOXIC).withColumn("toxic", F.lit(0))), model)
-              .orderBy("doc_id").limit(2 * TOXIC).select("toxic", "decision").collect())
+    known = bad.withColumn("toxic", F.lit(1)).unionByName(some(0, TOXIC).withColumn("toxic", F.lit(0)))
+    scored = (known.select("doc_id", "toxic", decision(F.col("text"), model).alias("decision"))
+              .orderBy("doc_id", "toxic").limit(2 * TOXIC).collect())
     d, t = np.array([r["decision"] for r in scored]), np.array([r["toxic"] for r in scored], float)
     x, w = np.stack((d, np.ones_like(d)), axis=1), np.array([1.0, 0.0])
     for _ in range(50):  # logistic regression on the decision, lightly held to unit slope
@@ -208,25 +209,22 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     return model
 
 
-def decisions(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and the decision of the strongest word."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LETTERS ** 3 numbers
+def decision(text: Column, model: Model) -> Column:
+    """The decision of the text's strongest word."""
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memo = Memo(model.decide_pieces, 150_000)
+        for texts in batches:
+            yield pa.array(by_chunk(lambda part: model.decide_texts(part, memo), texts, 8 << 20))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        memo = Memo(own.decide_pieces, 150_000)
-        for batch in batches:
-            for rows in chunks(batch, "text", 8 << 20):
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(own.decide_texts(rows["text"], memo))],
-                                                 [*rows.schema.names, "decision"])
-
-    return docs.mapInArrow(run, type(docs.schema)([*docs.schema.fields]).add("decision", "double"))
+    return run(text)
 
 
-def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` and score (0 to 1, higher is more toxic), predicted (1: toxic)."""
+def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score (0 to 1, higher is more toxic), predicted (1: toxic)."""
     margin = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("decision") * model.slope + model.shift))
-    return (decisions(docs, model).withColumn("score", 1 / (1 + F.exp(-margin))).drop("decision")
+    return (docs.select(F.col(doc_id).alias("doc_id"), decision(F.col(text), model).alias("decision"))
+            .select("doc_id", (1 / (1 + F.exp(-margin))).alias("score"))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
 
 

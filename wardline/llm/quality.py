@@ -25,7 +25,7 @@ from wardline.llm.tables import by_chunk, chunks, id_crc
 
 POSITIVES, UNLABELLED = 4000, 8000
 THRESHOLD = 0.3
-STEPS, RATE, DECAY, TOLERANCE, MARGIN = 1500, 0.05, 1e-3, 0.0, 0.1
+STEPS, RATE, DECAY, TOLERANCE, MARGIN = 1500, 0.05, 1e-3, 0.0, 2.0
 FEATURES = ("letters", "capitals", "digits", "marks", "spaces", "repeated_word", "same_word", "bars", "marked_words",
             "capital_words", "mean_word", "short_words", "long_words", "sentence", "lines")
 
@@ -85,8 +85,9 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     cuts = np.quantile(positive, np.linspace(0, 0.95, 96))
     above_p = 1 - np.searchsorted(np.sort(positive), cuts, side="left") / len(positive)
     above_u = 1 - np.searchsorted(np.sort(unlabelled), cuts, side="left") / len(unlabelled)
-    slack = MARGIN * np.sqrt(1 / np.maximum(above_p, 1e-9)) + np.sqrt(1 / len(positive)) + np.sqrt(1 / len(unlabelled))
-    return float(np.clip((above_u / np.maximum(above_p, 1e-9))[np.argmin(above_u / np.maximum(above_p, 1e-9) + slack)], 0.05, 0.99))
+    ratio = above_u / np.maximum(above_p, 1e-9)
+    slack = MARGIN / np.sqrt(np.maximum(above_p * len(positive), 1e-9))  # shares of few rows say little
+    return float(np.clip(ratio[np.argmin(ratio + slack)], 0.05, 0.99))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -113,8 +114,10 @@ def fit_rows(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     model = Model(both.mean(axis=0), np.maximum(both.std(axis=0), 1e-3), np.zeros(2 * both.shape[1] + 1), 0.5)
     p, u = model._inputs(positive), model._inputs(unlabelled)
     n, m = len(p), len(u)
-    ranker = _descend(p, u, lambda a, b: (-_sigmoid(-a) / n, _sigmoid(b) / m))
-    prior = model.prior = class_prior(p @ ranker, u @ ranker)
+    halves = [(0, 1), (1, 0)] if min(n, m) > 1 else [(0, 0)]  # a ranker sees one half, the other half is counted
+    ranks = [(p[j::2] @ r, u[j::2] @ r) for i, j in halves
+             for r in [_descend(p[i::2], u[i::2], lambda a, b: (-_sigmoid(-a) / len(a), _sigmoid(b) / len(b)))]]
+    prior = model.prior = float(np.mean([class_prior(a, b) for a, b in ranks]))
 
     def gradient(a, b):  # logistic loss; log(1 + exp(x)) is that of calling x negative
         negative = np.logaddexp(0, b).mean() - prior * np.logaddexp(0, a).mean()

@@ -28,9 +28,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from wardline.llm.components import components
-from wardline.llm.tables import chunks, kept
+from wardline.llm.tables import by_chunk, chunks, kept
 
 SHINGLE = 4
 SEED = 42
@@ -61,8 +62,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
-            bits = np.array([fingerprint(t) for t in part["text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(bits)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(_bits(part["text"].to_pylist()))], ["doc_id", "fp"])
 
 
 @cache
@@ -214,15 +214,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     out = docs.join(stays.drop("n"), docs["doc_id"].eqNullSafe(stays["kept_id"]), "left_semi")
     if stays.where("n > 1").isEmpty():
         return out
-    root = found.select(F.col("doc_id").alias("d"), "fp", "root")
-    bits = docs.select("*").mapInArrow(_with_fingerprint, docs.schema.add("fp_", "long"))
-    twice = bits.join(root.distinct(), bits["doc_id"].eqNullSafe(F.col("d")) & (F.col("fp_") == F.col("fp")))
-    one = twice.join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "root"])
-    return one.select(*docs.columns)
+    root = found.select(F.col("doc_id").alias("found_id"), F.col("fp").alias("found_fp"), "root").distinct()
+    rows = (docs.join(stays.drop("n"), docs["doc_id"].eqNullSafe(stays["kept_id"]), "left_semi")
+            .select(F.struct("*").alias("row_"), F.col("doc_id").alias("id_"), _fingerprint(F.col("text")).alias("fp_")))
+    rooted = rows.join(root, rows["id_"].eqNullSafe(root["found_id"]) & (rows["fp_"] == root["found_fp"]))
+    return rooted.dropDuplicates(["id_", "root"]).select("row_.*")
 
 
-def _with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in chunks(batch, "text"):
-            bits = np.array([fingerprint(t) for t in part["text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bits)], [*part.schema.names, "fp_"])
+@F.arrow_udf(LongType())
+def _fingerprint(texts: pa.Array) -> pa.Array:
+    return pa.array(by_chunk(lambda part: _bits(part.to_pylist()), texts).astype(np.int64))
+
+
+def _bits(texts: list[str | None]) -> np.ndarray:
+    return np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)

@@ -140,10 +140,10 @@ def test_language_without_letters():
 def test_quality_prior_and_empty_training():
     import numpy as np
     rng = np.random.default_rng(0)
-    good, bad = rng.normal(0.2, 0.05, (800, 15)), rng.normal(0.7, 0.05, (200, 15))
-    model = quality.fit_rows(good[:400], np.concatenate((good[400:], bad)))
-    assert 0.5 < model.prior < 0.8 and model.score(good).min() > 0.5 > model.score(bad).max()
-    assert quality.fit_rows(good[:0], bad).score(good).tolist() == [0.5] * 800
+    good, bad = rng.normal(0.2, 0.05, (8000, 15)), rng.normal(0.7, 0.05, (2000, 15))
+    model = quality.fit_rows(good[:4000], np.concatenate((good[4000:], bad)))
+    assert 0.5 < model.prior < 0.8 and model.score(good).min() > quality.THRESHOLD > model.score(bad).max()
+    assert quality.fit_rows(good[:0], bad).score(good).tolist() == [0.5] * 8000
 
 
 def test_pipeline_stages_keep_columns(spark, docs, folder):

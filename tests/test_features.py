@@ -52,6 +52,26 @@ def test_ties_and_a_heavy_user(spark, sf_dir):
     assert _by_event(feature_table(events, ent, small)) == want
 
 
+@pytest.mark.parametrize("case", ["repeated", "null_id", "null_device"])
+def test_heavy_path_keeps_every_row(spark, sf_dir, case):
+    """Repeated rows, null ids and a null key that holds 40 % of the rows: the sliced path gives what the plain one gives.
+    Which of two equal rows comes first is open, so repeated rows are compared by the columns that do not depend on it."""
+    events = access_events(spark, sf_dir).where("event_id < 400")
+    ent = access_entities(events)
+    if case == "repeated":
+        events = events.unionByName(events.where("event_id % 10 = 0"))
+    elif case == "null_id":
+        events = events.withColumn("event_id", F.when(F.col("event_id") % 10 > 0, F.col("event_id")))
+    else:
+        events = events.withColumn("device_id", F.when(F.col("event_id") % 10 > 3, F.col("device_id")))
+    plain = feature_table(events, ent, TEST_CONFIG)
+    sliced = feature_table(events, ent, replace(TEST_CONFIG, max_rows_per_task=50))
+    if case == "repeated":
+        plain, sliced = (x.select("event_id", "ts", "user_id", "is_foreign_dept") for x in (plain, sliced))
+    got = [sorted(map(str, x.collect())) for x in (plain, sliced)]
+    assert len(got[0]) == events.count() and got[0] == got[1]
+
+
 def test_future_rows_change_nothing(spark, sf_dir):
     events = access_events(spark, sf_dir)
     ent = entities_of(spark, sf_dir)

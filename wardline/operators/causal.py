@@ -18,7 +18,7 @@ from wardline.functions.scalars import (
     HOUR_TO_RADIANS, circular_distance, circular_mean, circular_std, fractional_hour,
     haversine_km, micros, round_to,
 )
-from wardline.operators.skew import SLICE, Agg, lookup, per_key, running, union_all, with_slice
+from wardline.operators.skew import ROW, SLICE, Agg, lookup, per_key, running, same_keys, union_all, with_row_key, with_slice
 from wardline.session import cut
 
 SHARED = "shared"
@@ -57,7 +57,7 @@ def add_dept_prior(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None = N
     department before each event, as a difference of two running sums.
 
     Departments are few, so on large data each one is heavy; then only the five needed columns are
-    scanned in slices, and the result joins back by event.
+    scanned in slices, and the result joins back by a key of the row.
     """
     cap = cfg.dept_history
     est = F.col("established")
@@ -74,13 +74,14 @@ def add_dept_prior(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None = N
             "_cos0": F.sum(F.when(est, F.cos(_angle())).otherwise(0.0)).over(old),
         })
         return _prior_from_sums(e, cfg)
-    narrow = e.select("event_id", "home_dept", "us", "hour", "established")
+    e = with_row_key(e)
+    narrow = e.select(ROW, "event_id", "home_dept", "us", "hour", "established")
     narrow = with_slice(narrow, "home_dept", "us", heavy, cfg.broadcast_rows)
     narrow = cut(running(narrow, ORDER, sums).drop(SLICE))
     far = narrow.where(est).select("home_dept", (F.col("_k") + cap).alias("_k"),
                                    F.col("_sin").alias("_sin0"), F.col("_cos").alias("_cos0"))
-    priors = _prior_from_sums(narrow.join(far, ["home_dept", "_k"], "left"), cfg)
-    return e.drop("established").join(priors.select("event_id", "prior_mean", "prior_std"), "event_id")
+    priors = _prior_from_sums(same_keys(narrow, far, ["home_dept", "_k"], "left"), cfg)
+    return e.drop("established").join(priors.select(ROW, "prior_mean", "prior_std"), ROW)
 
 
 def _prior_from_sums(e: DataFrame, cfg: FeatureConfig) -> DataFrame:
@@ -144,7 +145,8 @@ def _add_bursts(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None) -> Da
         ]))).drop("_prev", "_next_us", "_fd", "_fd_end", "_nh", "_fail")
 
     # Heavy users: expiries become rows of their own, so that time slices need no look-back.
-    e = cut(e.drop(SLICE))
+    keyed = ROW in e.columns
+    e = cut(with_row_key(e.drop(SLICE)))
 
     def expiry(rows: DataFrame, at: Column, name: str) -> DataFrame:
         return rows.select("user_id", at.alias("us"), F.lit(-1).alias(name))
@@ -157,13 +159,13 @@ def _add_bursts(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None) -> Da
         expiry(e.where("_fail = 1"), F.col("us") + failure + 1, "_fail"),
     ]).groupBy("user_id", "us").agg(*[F.sum(c).alias(c) for c in ("_fd", "_nh", "_fail")])
     marked = union_all([
-        e.select("user_id", "us", "event_id", "_fd", "_nh", "_fail").withColumn("_event", F.lit(1)),
+        e.select("user_id", "us", "event_id", ROW, "_fd", "_nh", "_fail").withColumn("_event", F.lit(1)),
         expiries.withColumn("_event", F.lit(0))])
     marked = with_slice(marked, "user_id", "us", heavy, cfg.broadcast_rows)
     counted = running(marked, ["us", "_event", "event_id"], (["user_id"], [
         Agg(name, "sum", F.col(c)) for name, c in zip(names, ("_fd", "_nh", "_fail"))]))
-    counted = counted.where("_event = 1").select("event_id", *[F.col(c).cast("int").alias(c) for c in names])
-    return e.drop("_prev", "_fd", "_nh", "_fail").join(counted, "event_id")
+    counted = counted.where("_event = 1").select(ROW, *[F.col(c).cast("int").alias(c) for c in names])
+    return e.drop("_prev", "_fd", "_nh", "_fail").join(counted, ROW).drop(*[ROW][keyed:])
 
 
 def add_user_history(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None = None) -> DataFrame:
@@ -197,7 +199,7 @@ def _user_step(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None) -> Dat
         e = cut(e)
         far = e.select("user_id", (F.col("_n") + cap).alias("_n"),
                        F.col("_sin").alias("_sin0"), F.col("_cos").alias("_cos0"))
-        e = e.join(far, ["user_id", "_n"], "left")
+        e = same_keys(e, far, ["user_id", "_n"], "left")
 
     n = F.least(F.col("_n"), F.lit(cap))
     s = F.col("_sin") - F.coalesce("_sin0", F.lit(0.0))

@@ -98,17 +98,17 @@ def first_visits(events: DataFrame) -> DataFrame:
 
 
 def nearest_visited(visits: DataFrame, edges: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    """(event_id, graph_dist_from_history) of every first visit that is not the user's first event.
+    """(event_id, user_id, host, graph_dist_from_history) of every first visit that is not the user's first event.
 
     Distance to the nearest host the user visited earlier. Rings of hosts around the newly visited
     hosts are matched with the user's visits by equality, so no pairs of a user's hosts are formed,
     and a visit drops out at its first match. Hosts outside the graph, or without any earlier visit
     in reach, get ``unreachable``.
     """
-    visits = cut(visits)
+    visits = cut(visits.withColumn("_visit", F.monotonically_increasing_id()))  # event ids may repeat or be null
     links, n_hosts, small_links = _links(edges, cfg.broadcast_rows)
-    starts = visits.groupBy("user_id").agg(F.min(F.struct("us", "event_id")).alias("_o"))
-    pending = visits.join(starts.select(F.col("_o.event_id").alias("event_id")), "event_id", "left_anti")
+    starts = visits.groupBy("user_id").agg(F.min(F.struct("us", "event_id", "_visit")).alias("_o"))
+    pending = visits.join(starts.select("_o._visit"), "_visit", "left_anti")
     earlier = visits.select("user_id", F.col("host").alias("dst"), F.col("us").alias("_us"),
                             F.col("event_id").alias("_id"))
     hosts = pending.select("host").distinct()
@@ -126,15 +126,16 @@ def nearest_visited(visits: DataFrame, edges: DataFrame, cfg: FeatureConfig) ->
         hit = cut(pending.join(ring, pending.host == ring.src)
                   .join(earlier, ["user_id", "dst"])
                   .where(F.struct("_us", "_id") < F.struct("us", "event_id"))
-                  .groupBy("event_id").agg(F.min("d").alias("graph_dist_from_history")))
+                  .groupBy("_visit").agg(F.min("d").alias("graph_dist_from_history")))
         answers.append(hit)
-        pending = pending.join(hit, "event_id", "left_anti")
+        pending = pending.join(hit, "_visit", "left_anti")
         try:
             ring = rings.send(pending) if hasattr(rings, "send") else next(rings)
         except StopIteration:
             break
-    answers.append(pending.select("event_id", F.lit(cfg.unreachable).alias("graph_dist_from_history")))
-    return union_all(answers)
+    answers.append(pending.select("_visit", F.lit(cfg.unreachable).alias("graph_dist_from_history")))
+    return (union_all(answers).join(visits.select("_visit", "event_id", "user_id", "host"), "_visit")
+            .select("event_id", "user_id", "host", "graph_dist_from_history"))
 
 
 def _tabulated_rings(table: DataFrame):

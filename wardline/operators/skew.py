@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from wardline.session import cut
 
 SLICE = "_slice"
+ROW = "_row"
 # Slice widths in seconds, widest first.
 WIDTHS = [30 * 86_400, 7 * 86_400, 86_400, 6 * 3_600, 3_600, 600, 60, 1]
 
@@ -37,11 +38,25 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.count() <= rows
 
 
-def lookup(fact: DataFrame, dim: DataFrame, on, broadcast_rows: int, how: str = "left") -> DataFrame:
+def same_keys(fact: DataFrame, dim: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join by equal keys where null equals null; the key columns are those of ``fact``."""
+    own = dim.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    equal = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys])
+    return fact.join(own, equal, how).drop(*[f"_same_{k}" for k in keys])
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """A key of each row's own, written out so that it stays; other ids may repeat or be null."""
+    return df if ROW in df.columns else cut(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def lookup(fact: DataFrame, dim: DataFrame, on, broadcast_rows: int, how: str = "left", nulls: bool = False) -> DataFrame:
     """Dimension join: broadcast a dimension of checked size, otherwise leave the join to AQE,
-    whose skew split handles heavy fact keys."""
+    whose skew split handles heavy fact keys. ``nulls``: a null key is a key like others."""
     if fits(dim.select(*([on] if isinstance(on, str) else on)), broadcast_rows):
         dim = F.broadcast(dim)
+    if nulls:
+        return same_keys(fact, dim, [on] if isinstance(on, str) else list(on), how)
     return fact.join(dim, on, how)
 
 
@@ -58,7 +73,7 @@ def heavy_keys(df: DataFrame, key: str, us: str, max_rows: int,
         return None
     widths = F.explode(F.array(*[F.lit(w) for w in WIDTHS])).alias("_width")
     return cut(
-        rows.join(heavy.select(key), key, "left_semi")
+        same_keys(rows, heavy.select(key), [key], "left_semi")
         .groupBy(key, "_sec").agg(F.count(F.lit(1)).alias("_n"))
         .select(key, "_sec", "_n", widths)
         .groupBy(key, "_width", F.floor(F.col("_sec") / F.col("_width")).alias("_bin"))
@@ -72,7 +87,7 @@ def heavy_keys(df: DataFrame, key: str, us: str, max_rows: int,
 def with_slice(df: DataFrame, key: str, us: str, heavy: DataFrame,
                broadcast_rows: int = 500_000) -> DataFrame:
     """Adds the slice number; light keys get slice 0."""
-    joined = lookup(df, heavy, key, broadcast_rows)
+    joined = lookup(df, heavy, key, broadcast_rows, nulls=True)
     number = F.floor(F.col(us) / 1_000_000 / F.col("_width")).cast("long")
     return joined.withColumn(SLICE, F.coalesce(number, F.lit(0))).drop("_width")
 
@@ -84,8 +99,8 @@ def per_key(df: DataFrame, key: str, us: str, heavy: DataFrame | None, step,
     if heavy is None:
         return step(df)
     df = cut(df)
-    light = lookup(df, heavy.select(key), key, broadcast_rows, "left_anti")
-    sliced = with_slice(lookup(df, heavy.select(key), key, broadcast_rows, "left_semi"), key, us, heavy,
+    light = lookup(df, heavy.select(key), key, broadcast_rows, "left_anti", nulls=True)
+    sliced = with_slice(lookup(df, heavy.select(key), key, broadcast_rows, "left_semi", nulls=True), key, us, heavy,
                         broadcast_rows)
     return step(light).unionByName(step(sliced).drop(SLICE))
 

@@ -31,7 +31,7 @@ from wardline.llm.ragged import Memo, Pieces
 from wardline.llm.tables import by_chunk, id_crc
 
 TOXIC, CLEAN, CANDIDATES, NEGATIVES, HARD = 2000, 10_000, 3000, 3000, 600
-LANDMARKS, SPAN, DECAY, CONTEXTS, ODDS = 300, 8, 0.5, 3, 10
+LANDMARKS, SPAN, DECAY, CONTEXTS, ODDS = 300, 8, 0.5, 6, 10
 THRESHOLD, FLOOR = 0.3, -3.0
 LETTERS = 32
 GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]

@@ -7,6 +7,7 @@ from wardline.operators.ranks import auc, percentile_rank, quantiles
 from wardline.operators.scoring import blend_cold_start, gate_classes
 from wardline.functions.scalars import unified_score
 from wardline.operators.splits import leaking_sessions, session_split, three_way_split
+from wardline.operators.reference import by_grids, score_grids
 from wardline.sources.events import access_events
 
 
@@ -82,3 +83,21 @@ def test_confusion_matrix_has_all_classes(spark):
     rows = {r["true_class"]: r for r in confusion_matrix(df).collect()}
     assert set(rows) == set(CLASSES) and rows["brute_force"]["pred_normal"] == 1
     assert rows["lateral_movement"]["pred_lateral_movement"] == 0
+
+
+def test_scores_against_stored_grids(spark):
+    """Equal to a plain count over the reference rows; ties, nulls, values outside and an empty reference."""
+    ref = [1.0, 2.0, 2.0, 2.0, 5.0, 7.0, 7.5]
+    asked = [0.5, 1.0, 1.9, 2.0, 6.0, 7.5, 99.0, None]
+    reference = spark.createDataFrame([(x, -x) for x in ref] + [(None, None)], "iso_raw double, ae_raw double")
+    rows = spark.createDataFrame([(i, x, None if x is None else -x) for i, x in enumerate(asked)], "i int, iso_raw double, ae_raw double")
+    got = by_grids(rows, score_grids(reference)).orderBy("i").collect()
+
+    def share(x, values):
+        return None if x is None else round(100 * sum(v <= x for v in values) / len(values) + 1e-9, 2)
+
+    assert [r["iso_forest_score"] for r in got] == [share(x, ref) for x in asked]
+    assert [r["autoencoder_score"] for r in got] == [share(None if x is None else -x, [-v for v in ref]) for x in asked]
+    assert got[-1]["ensemble_score_raw"] is None
+    none = by_grids(rows, score_grids(reference.limit(0))).orderBy("i").collect()
+    assert [r["iso_forest_score"] for r in none] == [0.0] * 7 + [None]

@@ -245,16 +245,17 @@ def filled_matrix(spark, sf_dir):
     return with_fill(df, fills).select("event_id", *[F.col(c).cast("double").alias(c) for c in FEATURES])
 
 
-_STD = [c for c in FEATURES if c != "time_since_last_event_min"]
-
-
-@register("standardised_features", _scored("SELECT event_id, " + ", ".join(
-    f"round(({c} - (SELECT avg({c}) FROM tagged WHERE split = 'train_normal')) / (SELECT coalesce(nullif("
-    f"stddev_pop({c}), 0), 1) FROM tagged WHERE split = 'train_normal'), 6) AS {c}" for c in _STD) + " FROM tagged"))
+@register("standardised_features", _on(o.scored() | {"filled": "SELECT event_id, split, " + ", ".join(
+    f"CAST({c} AS DOUBLE) AS {c}" if c != "time_since_last_event_min" else
+    f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM tagged WHERE split = 'train_normal')) AS {c}"
+    for c in FEATURES) + " FROM tagged"}, "SELECT event_id, " + ", ".join(
+    f"round(({c} - (SELECT avg({c}) FROM filled WHERE split = 'train_normal')) / (SELECT coalesce(nullif("
+    f"stddev_pop({c}), 0), 1) FROM filled WHERE split = 'train_normal'), 6) AS {c}" for c in FEATURES) + " FROM filled"))
 def standardised_features(spark, sf_dir):
     df = scored_of(spark, sf_dir)
-    out = standardise(df, df.where("split = 'train_normal'"), _STD)
-    return out.select("event_id", *[F.round(c, 6).alias(c) for c in _STD])
+    df = with_fill(df, fill_medians(df.where("split = 'train_normal'")))
+    out = standardise(df, df.where("split = 'train_normal'"))
+    return out.select("event_id", *[F.round(c, 6).alias(c) for c in FEATURES])
 
 
 # ---- splits ------------------------------------------------------------------------------------
@@ -818,13 +819,13 @@ def _ready(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 @register("isolation_scores")
 def isolation_scores(spark, sf_dir):
     df, train = _ready(spark, sf_dir)
-    return df.select("event_id", "split", forest_score(cut(train_forest(train, n_trees=100))).alias("iso_raw"))
+    return df.select("event_id", "split", forest_score(cut(train_forest(train))).alias("iso_raw"))
 
 
 @register("autoencoder_scores")
 def autoencoder_scores(spark, sf_dir):
     df, train = _ready(spark, sf_dir)
-    return df.select("event_id", "split", network_score(train_autoencoder(train, rounds=6)).alias("ae_raw"))
+    return df.select("event_id", "split", network_score(train_autoencoder(train, rounds=60)).alias("ae_raw"))
 
 
 @register("linear_reconstruction_scores")

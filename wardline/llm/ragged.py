@@ -16,6 +16,13 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[at]
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """s, s + 1 ... s + n - 1 of each (s, n), end to end."""
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at), dtype=at.dtype)
+    return at
+
+
 def ends_of(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(sizes)))
 

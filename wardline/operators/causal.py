@@ -173,6 +173,34 @@ def add_user_history(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None =
     return per_key(e, "user_id", "us", heavy, lambda rows: _user_step(rows, cfg, heavy), cfg.broadcast_rows)
 
 
+def history_columns(sin_sum: Column, cos_sum: Column, cfg: FeatureConfig) -> dict[str, Column]:
+    """Features of rows that carry the depth ``_n``, ``_first_us``, the ``_last`` event, how often device, host and
+    department were seen (``_dev_n``, ``_host_n``, ``_dept_n``), and the given sums over the recent hours."""
+    n = F.least(F.col("_n"), F.lit(cfg.hour_history))
+    weight = F.least(F.lit(1.0), F.col("_n") / float(cfg.min_history))
+    own_mean, own_std = circular_mean(n, sin_sum, cos_sum), circular_std(n, sin_sum, cos_sum)
+    mean = F.coalesce(weight * own_mean + (1 - weight) * F.col("prior_mean"), "prior_mean")
+    std = F.coalesce(weight * own_std + (1 - weight) * F.col("prior_std"), "prior_std")
+    elapsed_s = (F.col("us") - F.col("_last.us")) / 1_000_000.0
+    km = haversine_km(F.col("_last.geo_lat"), F.col("_last.geo_lon"), F.col("geo_lat"), F.col("geo_lon"))
+    return {
+        "hour_zscore": round_to(circular_distance(F.col("hour"), mean) / F.greatest(std, F.lit(0.5)), 3),
+        "geo_distance_km": F.coalesce(round_to(km, 2), F.lit(0.0)),
+        "geo_velocity_kmh": F.coalesce(
+            round_to(km / F.greatest(elapsed_s / 3600, F.lit(1 / 60)), 2), F.lit(0.0)),
+        "time_since_last_event_min": round_to(elapsed_s / 60, 2),
+        "is_new_device": (F.col("_dev_n") == 0).cast("int"),
+        "is_new_host": (F.col("_host_n") == 0).cast("int"),
+        "is_first_time_in_this_dept":
+            ((F.col("_dept_n") == 0) & (F.col("is_foreign_dept") == 1)).cast("int"),
+        "entity_history_days": F.coalesce(
+            round_to((F.col("us") - F.col("_first_us")) / 86_400_000_000.0, 2), F.lit(0.0)),
+        "entity_history_event_count": F.col("_n").cast("int"),
+        "is_cold_start_entity": (F.col("_n") < cfg.min_history).cast("int"),
+        "cold_start_blend_weight": round_to(weight, 2),
+    }
+
+
 def _user_step(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None) -> DataFrame:
     cap = cfg.hour_history
     one = F.lit(1)
@@ -201,30 +229,9 @@ def _user_step(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None) -> Dat
                        F.col("_sin").alias("_sin0"), F.col("_cos").alias("_cos0"))
         e = same_keys(e, far, ["user_id", "_n"], "left")
 
-    n = F.least(F.col("_n"), F.lit(cap))
     s = F.col("_sin") - F.coalesce("_sin0", F.lit(0.0))
     c = F.col("_cos") - F.coalesce("_cos0", F.lit(0.0))
-    weight = F.least(F.lit(1.0), F.col("_n") / float(cfg.min_history))
-    own_mean, own_std = circular_mean(n, s, c), circular_std(n, s, c)
-    mean = F.coalesce(weight * own_mean + (1 - weight) * F.col("prior_mean"), "prior_mean")
-    std = F.coalesce(weight * own_std + (1 - weight) * F.col("prior_std"), "prior_std")
-    elapsed_s = (F.col("us") - F.col("_last.us")) / 1_000_000.0
-    km = haversine_km(F.col("_last.geo_lat"), F.col("_last.geo_lon"), F.col("geo_lat"), F.col("geo_lon"))
-    e = e.withColumns({
-        "hour_zscore": round_to(circular_distance(F.col("hour"), mean) / F.greatest(std, F.lit(0.5)), 3),
-        "geo_distance_km": F.coalesce(round_to(km, 2), F.lit(0.0)),
-        "geo_velocity_kmh": F.coalesce(
-            round_to(km / F.greatest(elapsed_s / 3600, F.lit(1 / 60)), 2), F.lit(0.0)),
-        "time_since_last_event_min": round_to(elapsed_s / 60, 2),
-        "is_new_device": (F.col("_dev_n") == 0).cast("int"),
-        "is_new_host": (F.col("_host_n") == 0).cast("int"),
-        "is_first_time_in_this_dept":
-            ((F.col("_dept_n") == 0) & (F.col("is_foreign_dept") == 1)).cast("int"),
-        "entity_history_days": F.coalesce(
-            round_to((F.col("us") - F.col("_first_us")) / 86_400_000_000.0, 2), F.lit(0.0)),
-        "entity_history_event_count": F.col("_n").cast("int"),
-        "is_cold_start_entity": (F.col("_n") < cfg.min_history).cast("int"),
-        "cold_start_blend_weight": round_to(weight, 2),
-    }).drop("_n", "_first_us", "_last", "_sin", "_cos", "_sin0", "_cos0", "_dev_n", "_host_n", "_dept_n",
-            "prior_mean", "prior_std", "hour", "geo_lat", "geo_lon", "home_dept", "fp")
+    e = e.withColumns(history_columns(s, c, cfg)).drop(
+        "_n", "_first_us", "_last", "_sin", "_cos", "_sin0", "_cos0", "_dev_n", "_host_n", "_dept_n",
+        "prior_mean", "prior_std", "hour", "geo_lat", "geo_lon", "home_dept", "fp")
     return _add_bursts(e, cfg, heavy)

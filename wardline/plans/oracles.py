@@ -9,7 +9,7 @@ from __future__ import annotations
 from wardline.config import CLASSES, FEATURES, FeatureConfig
 from wardline.functions.wording import STRENGTH_CAP
 from wardline.plans.results import TEST_CONFIG
-from wardline.sources.events import CITIES, SPOOFED
+from wardline.sources.events import SPOOFED
 
 
 def r(x: str, digits: int) -> str:
@@ -20,11 +20,6 @@ def pct(key: str) -> str:
     return f"(CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) % 100)"
 
 
-def _city(i: int) -> str:
-    values = ", ".join(f"'{c[i]}'" if isinstance(c[i], str) else f"CAST({c[i]} AS DOUBLE)" for c in CITIES)
-    return f"list_extract([{values}], city_id + 1)"
-
-
 def access() -> dict[str, str]:
     return {
         "raw_access": """
@@ -49,7 +44,8 @@ def access() -> dict[str, str]:
               CASE WHEN attack_type IS NULL THEN 'normal' ELSE 'attack' END AS label,
               CASE WHEN attack_type IS NOT NULL
                    THEN attack_type || '_' || user_id || '_' || strftime(ts, '%Y-%m-%d') END AS attack_id,
-              {_city(0)} AS geo_city, {_city(1)} AS geo_lat, {_city(2)} AS geo_lon, {_city(3)} AS geo_country,
+              'place' || city_id AS geo_city, (city_id * 37 % 121 - 60.25)::DOUBLE AS geo_lat,
+              (city_id * 83 % 331 - 165.5)::DOUBLE AS geo_lon, 'land' || city_id % 7 AS geo_country,
               user_id % 14 = 13 AS is_cold_start, user_id % 3 = 0 AS drift_group,
               CASE WHEN host >= 90 THEN 'shared' ELSE 'd' || CAST(floor(host / 18.0) AS INT) END AS owner_dept,
               CASE WHEN spoofed_fingerprint IS NOT NULL THEN 'os9|br9|sc9'

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +20,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from wardline.config import DriftConfig, FeatureConfig
 from wardline.functions.adwin import Adwin
+from wardline.functions.scalars import HOUR_TO_RADIANS
+from wardline.operators.causal import history_columns
 
 US = 1_000_000
 
@@ -79,24 +82,36 @@ def prepared(events: DataFrame, delay: str) -> DataFrame:
 
 # ---- user features -----------------------------------------------------------------------------
 
-def _round(x: float, digits: int) -> float:
-    scale = 10.0 ** digits
-    return math.floor(x * scale + 0.5 + 1e-6) / scale
+class Recent:
+    """Happenings of a bounded time, counted by kind; each goes when its time is over."""
 
+    def __init__(self):
+        self.happened, self.kinds = deque(), Counter()
 
-def _hour_stats(hours: list[float]) -> tuple[float, float]:
-    turn = 2 * math.pi / 24
-    s = sum(math.sin(h * turn) for h in hours) / len(hours)
-    c = sum(math.cos(h * turn) for h in hours) / len(hours)
-    r = min(max(math.hypot(s, c), 1e-6), 1.0)
-    return math.atan2(s, c) / turn % 24, max(math.sqrt(-2 * math.log(r)) / turn, 0.5)
+    def add(self, us: int, kind=None) -> None:
+        self.happened.append((us, kind))
+        self.kinds[kind] += 1
 
+    def forget(self, before: int) -> Recent:
+        while self.happened and self.happened[0][0] < before:
+            kind = self.happened.popleft()[1]
+            self.kinds[kind] -= 1
+            if not self.kinds[kind]:
+                del self.kinds[kind]
+        return self
 
-def _km(lat1, lon1, lat2, lon2) -> float:
-    a1, a2 = math.radians(lat1), math.radians(lat2)
-    chord = (math.sin((a2 - a1) / 2) ** 2
-             + math.cos(a1) * math.cos(a2) * math.sin(math.radians(lon2 - lon1) / 2) ** 2)
-    return 2 * 6371.0 * math.asin(math.sqrt(min(chord, 1.0)))
+
+class RecentHours:
+    """Sums of sine and cosine over the latest hours; the oldest is taken off as a new one comes."""
+
+    def __init__(self, most: int):
+        self.most, self.points, self.sums = most, deque(), (0.0, 0.0)
+
+    def add(self, hour: float) -> None:
+        new = math.sin(hour * HOUR_TO_RADIANS), math.cos(hour * HOUR_TO_RADIANS)
+        old = self.points.popleft() if len(self.points) == self.most else (0.0, 0.0)
+        self.points.append(new)
+        self.sums = tuple(total + come - gone for total, come, gone in zip(self.sums, new, old, strict=True))
 
 
 USER_INPUT = ["us", "event_id", "hour", "geo_lat", "geo_lon", "device_id", "host", "owner_dept",
@@ -108,82 +123,71 @@ USER_OUTPUT = ("hour_zscore double, geo_distance_km double, geo_velocity_kmh dou
                "is_cold_start_entity int, cold_start_blend_weight double")
 
 
-class UserFeatures(InOrder):
-    """State per user: one value (depth, last event, recent hours, bursts) and a map of things seen."""
+CARRIED = ["us", "event_id", "hour", "geo_lat", "geo_lon", "is_foreign_dept", "prior_mean", "prior_std"]
+USER_STATE = ("_n long, _first_us long, _last struct<us: long, geo_lat: double, geo_lon: double>, _sin double, _cos double, "
+              "_dev_n int, _host_n int, _dept_n int, foreign_dept_burst_distinct int, new_host_burst_count int, "
+              "failure_burst_count int")
+
+
+class UserHistory(InOrder):
+    """Hands each event on with what was known of its user before it; features follow from that as column expressions.
+
+    State per user: depth, first and last event, sums of recent hours and recent happenings in one value, and a map of
+    things seen."""
 
     def __init__(self, cfg: FeatureConfig, out: list[str]):
         super().__init__(USER_INPUT, out)
         self.cfg = cfg
 
     def open(self, handle) -> None:
-        self.core = handle.getValueState("core", "body binary")
+        self.known = handle.getValueState("known", "body binary")
         self.seen = handle.getMapState("seen", "item string", "first_us long")
 
     def load(self) -> None:
-        self.s = pickle.loads(bytes(self.core.get()[0])) if self.core.exists() else {
-            "n": 0, "first": 0, "last": None, "hours": [], "fail": [], "hosts": [], "depts": []}
+        if self.known.exists():
+            self.depth, self.first, self.last, self.hours, self.recent = pickle.loads(bytes(self.known.get()[0]))
+        else:
+            self.depth, self.first, self.last = 0, None, None
+            self.hours = RecentHours(self.cfg.hour_history)
+            self.recent = {name: Recent() for name in ("foreign", "new_host", "failure")}
 
     def store(self) -> None:
-        self.core.update((pickle.dumps(self.s),))
+        self.known.update((pickle.dumps((self.depth, self.first, self.last, self.hours, self.recent)),))
 
-    def _first_time(self, kind: str, item, us: int) -> int:
+    def _seen_before(self, kind: str, item, us: int) -> int:
         name = (f"{kind}:{item}",)
         if self.seen.containsKey(name):
-            return 0
+            return 1
         self.seen.updateValue(name, (us,))
-        return 1
+        return 0
 
     def row(self, user, r):
-        cfg, s, us = self.cfg, self.s, r["us"]
-        n = s["n"]
-        weight = min(1.0, n / cfg.min_history)
-        mean, std = r["prior_mean"], r["prior_std"]
-        if s["hours"]:
-            own_mean, own_std = _hour_stats(s["hours"])
-            mean = weight * own_mean + (1 - weight) * mean
-            std = weight * own_std + (1 - weight) * std
-        gap = abs(r["hour"] - mean) % 24
-        z = min(gap, 24 - gap) / max(std, 0.5)
-        km = speed = 0.0
-        idle = None
-        if s["last"]:
-            at, lat, lon = s["last"]
-            seconds = (us - at) / US
-            km = _km(lat, lon, r["geo_lat"], r["geo_lon"])
-            speed = km / max(seconds / 3600, 1 / 60)
-            idle = _round(seconds / 60, 2)
-        lateral, failure = us - cfg.lateral_window_s * US, us - cfg.failure_window_s * US
-        s["fail"] = [t for t in s["fail"] if t >= failure]
-        s["hosts"] = [t for t in s["hosts"] if t >= lateral]
-        s["depts"] = [d for d in s["depts"] if d[0] >= lateral]
-        new_device = self._first_time("device", r["device_id"], us)
-        new_host = self._first_time("host", r["host"], us)
-        new_dept = self._first_time("dept", r["owner_dept"], us)
-        foreign = r["is_foreign_dept"]
-        yield (user, r["event_id"], pd.Timestamp(us, unit="us"), _round(z, 3), _round(km, 2), _round(speed, 2), idle,
-               new_device, new_host, foreign, int(new_dept and foreign), len({d for _, d in s["depts"]}),
-               len(s["hosts"]), len(s["fail"]), _round((us - s["first"]) / 86_400 / US, 2) if n else 0.0, n,
-               int(n < cfg.min_history), _round(weight, 2))
-        s["n"] = n + 1
-        s["first"] = s["first"] if n else us
-        s["last"] = (us, r["geo_lat"], r["geo_lon"])
-        s["hours"] = (s["hours"] + [r["hour"]])[-cfg.hour_history:]
-        if r["status"] == "failure":
-            s["fail"].append(us)
-        if new_host:
-            s["hosts"].append(us)
-        if foreign:
-            s["depts"].append((us, r["owner_dept"]))
+        us, recent = r["us"], self.recent
+        seen = [self._seen_before(kind, r[column], us)
+                for kind, column in (("device", "device_id"), ("host", "host"), ("dept", "owner_dept"))]
+        lateral = us - self.cfg.lateral_window_s * US
+        yield (user, pd.Timestamp(us, unit="us"), *[r[c] for c in CARRIED], self.depth, self.first, self.last,
+               *self.hours.sums, *seen, len(recent["foreign"].forget(lateral).kinds),
+               len(recent["new_host"].forget(lateral).happened),
+               len(recent["failure"].forget(us - self.cfg.failure_window_s * US).happened))
+        for name, kind, holds in (("foreign", r["owner_dept"], r["is_foreign_dept"]), ("new_host", None, not seen[1]),
+                                  ("failure", None, r["status"] == "failure")):
+            if holds:
+                recent[name].add(us, kind)
+        self.hours.add(r["hour"])
+        self.first = us if self.first is None else self.first
+        self.last = {"us": us, "geo_lat": r["geo_lat"], "geo_lon": r["geo_lon"]}
+        self.depth += 1
 
 
 def user_features(events: DataFrame, delay: str = "10 minutes", cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
     """Online user features of enriched events that already carry prior_mean and prior_std."""
     df = prepared(events, delay)
-    fields = [T.StructField("user_id", df.schema["user_id"].dataType),
-              T.StructField("event_id", df.schema["event_id"].dataType), T.StructField("ts", T.TimestampType())]
-    out = T.StructType(fields + T._parse_datatype_string(USER_OUTPUT).fields)
-    processor = UserFeatures(cfg, out.names)
-    return _run(df.select("user_id", "ts", *USER_INPUT), "user_id", processor, out)
+    out = T.StructType([df.schema["user_id"], T.StructField("ts", T.TimestampType()), *[df.schema[c] for c in CARRIED],
+                        *T._parse_datatype_string(USER_STATE).fields])
+    known = _run(df.select("user_id", "ts", *USER_INPUT), "user_id", UserHistory(cfg, out.names), out)
+    return known.withColumns(history_columns(F.col("_sin"), F.col("_cos"), cfg)).select(
+        "user_id", "event_id", "ts", *[c.split()[0] for c in USER_OUTPUT.split(", ")])
 
 
 def with_hour_prior(events: DataFrame, snapshot: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
@@ -197,28 +201,27 @@ def with_hour_prior(events: DataFrame, snapshot: DataFrame, cfg: FeatureConfig =
 # ---- device fingerprints -------------------------------------------------------------------------
 
 class FingerprintHistory(InOrder):
-    """State per device: fingerprint -> (times seen, first seen)."""
+    """State per device: fingerprint -> (times seen, place of the first), and the usual one so far."""
 
     def open(self, handle) -> None:
-        self.fps = handle.getMapState("fps", "fp string", "n long, us long, place long")
-        self.count = handle.getValueState("count", "n long")
+        self.fps = handle.getMapState("fps", "fp string", "n long, place long")
+        self.usual = handle.getValueState("usual", "events long, fp string, n long, place long")
 
     def load(self) -> None:
-        self.order = self.count.get()[0] if self.count.exists() else 0
+        self.events, self.fp, self.n, self.place = self.usual.get() if self.usual.exists() else (0, None, 0, 0)
 
     def store(self) -> None:
-        self.count.update((self.order,))
+        self.usual.update((self.events, self.fp, self.n, self.place))
 
     def row(self, device, r):
         fp, wrong = r["fp"], 0
         if fp is not None:
-            known = {k[0]: tuple(v) for k, v in self.fps.iterator()}
-            if known:
-                usual = min(known, key=lambda k: (-known[k][0], known[k][2]))
-                wrong = int(usual != fp)
-            n, us, place = known.get(fp, (0, r["us"], self.order))
-            self.fps.updateValue((fp,), (n + 1, us, place))
-            self.order += 1
+            wrong = int(self.fp is not None and fp != self.fp)
+            n, place = self.fps.getValue((fp,)) if self.fps.containsKey((fp,)) else (0, self.events)
+            self.fps.updateValue((fp,), (n + 1, place))
+            if (n + 1, -place) > (self.n, -self.place):  # only this one's count has grown
+                self.fp, self.n, self.place = fp, n + 1, place
+            self.events += 1
         yield device, r["event_id"], pd.Timestamp(r["us"], unit="us"), wrong
 
 

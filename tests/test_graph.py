@@ -1,7 +1,7 @@
 import random
 
+import numpy as np
 import pytest
-from replay import _hops
 
 from wardline.config import FeatureConfig
 from wardline.operators import graph
@@ -16,6 +16,17 @@ def mode(request, monkeypatch):
     return request.param
 
 
+def _hops(pairs):
+    """Distances between connected hosts: the first power of the adjacency matrix that joins them."""
+    hosts = sorted({h for p in pairs for h in p})
+    links = np.eye(len(hosts), dtype=int)
+    for a, b in pairs:
+        links[hosts.index(a), hosts.index(b)] = links[hosts.index(b), hosts.index(a)] = 1
+    powers = [np.linalg.matrix_power(links.astype(float), d) > 0 for d in range(len(hosts))]
+    return {h: {t: next(d for d, p in enumerate(powers) if p[i, j]) for j, t in enumerate(hosts) if powers[-1][i, j]}
+            for i, h in enumerate(hosts)}
+
+
 def _graph(spark):
     rng = random.Random(5)
     pairs = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(34)} | {(90, 91)}

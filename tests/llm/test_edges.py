@@ -128,6 +128,21 @@ def test_toxicity_tolerates_gaps():
     assert min(plain, gapped, inserted) > 0 > other
 
 
+def test_toxicity_gaps_and_letters_of_all_scripts():
+    def cosine(a, b):
+        x, y = toxicity.word_vectors([a, b])
+        return float(x @ y)
+
+    for sign in ".", "-", "\u200b", "\u2014", "\u2022", "\ufeff":
+        assert cosine("idiot", sign.join("idiot")) > 0.9
+    assert cosine("придурок", "\u200b".join("придурок")) > 0.9
+    for clean in "хорошими", "лопатами", "зеркалом":  # no letters in common places
+        assert cosine("придурок", clean) < 0.1
+    assert cosine("crétin", "cròtùn") < cosine("crétin", "crétins") - 0.3
+    model = toxicity.fit_words(["придурок", "сволочь"], ["хорошими", "лопатами", "зеркалом", "привет", "урок", "garden"] * 3)
+    assert min(model.decide(["придурок", "\u2022".join("придурок")])) > 0 > max(model.decide(["урок", "хорошими"]))
+
+
 def test_language_without_letters():
     import numpy as np
     rows = [(lang, *(x.astype(float) if i else x for i, x in enumerate(np.unique(language.grams(t), return_counts=True))))

@@ -2,8 +2,9 @@
 
 The kernel compares two words by the three-letter subsequences they share within ``SPAN`` characters, each
 weighing ``DECAY`` for every character it skips, normalised by the weights of a word's own subsequences.
-Characters that are no letters only widen gaps, digits that imitate letters count as these, and runs of
-single characters between spaces are read as one word; so gapped insults and insults with inserted
+Letters of all scripts are told apart; subsequences of code points are hashed into ``BUCKETS``. Characters
+that are no letters, of whatever block, only widen gaps, digits that imitate letters count as these, and runs
+of single characters between spaces are read as one word; so gapped insults and insults with inserted
 characters stay near the plain ones.
 
 A sentence carries the label of its document. Its label rests on the words that toxic sentences share in
@@ -19,6 +20,7 @@ Null and empty texts have no word and the lowest score. Every row gives one row.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,47 +35,45 @@ from wardline.llm.tables import by_chunk, id_crc
 TOXIC, CLEAN, CANDIDATES, NEGATIVES, HARD = 2000, 10_000, 3000, 3000, 600
 LANDMARKS, SPAN, DECAY, CONTEXTS, ODDS = 300, 8, 0.5, 6, 10
 THRESHOLD, FLOOR = 0.3, -3.0
-LETTERS = 32
+BUCKETS = 1 << 16
 GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 IMITATED = dict(zip("0134578@$", "oieastbas", strict=True))
 SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){3,}\S(?!\S)")
 
 
-def _code_table() -> np.ndarray:
-    table = np.zeros(0x250, np.uint8)
-    for i in range(len(table)):
-        c = IMITATED.get(chr(i), chr(i))
-        if c.isalpha():
-            table[i] = ord(c) - 96 if "a" <= c <= "z" else 27 + i % 5
+def _letter_table() -> np.ndarray:
+    """For every code point the letter it stands for, 0 if it is none."""
+    table = np.fromiter((i if chr(i).isalpha() else 0 for i in range(sys.maxunicode + 1)), np.uint32)
+    for c, letter in IMITATED.items():
+        table[ord(c)] = ord(letter)
     return table
 
 
-CODES = _code_table()
+LETTER = _letter_table()
 
 
 def _coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of all words with gaps between them that no subsequence spans, and where each begins."""
+    """Letters of all words with gaps between them that no subsequence spans, and where each begins."""
     points = np.frombuffer((("\0" * SPAN).join(words) + "\0" * SPAN).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = CODES[np.minimum(points, len(CODES) - 1)]
-    codes = np.where(points >= len(CODES), 27 + points % 5, codes).astype(np.int64)
     sizes = np.fromiter((len(w.lower()) for w in words), np.int64, len(words)) + SPAN
-    return codes, np.cumsum(sizes) - sizes
+    return LETTER[points], np.cumsum(sizes) - sizes
 
 
 def _subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(first positions, subsequences, weight)."""
+    """(first positions, buckets of the subsequences of real letters, weight)."""
     n = len(codes)
+    first, second, third = (codes * np.uint32(k) for k in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35))
     for i, j in GAPS:
         if j < n:
-            a, b, c = codes[:n - j], codes[i:n - j + i], codes[j:]
-            at = np.flatnonzero((a > 0) & (b > 0) & (c > 0))
-            yield at, (a[at] * LETTERS + b[at]) * LETTERS + c[at], DECAY ** (j - 2)
+            at = np.flatnonzero((codes[:n - j] > 0) & (codes[i:n - j + i] > 0) & (codes[j:] > 0))
+            sub = first[at] + second[at + i] + third[at + j]
+            yield at, (sub ^ sub >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(16), DECAY ** (j - 2)
 
 
 def word_vectors(words: list[str]) -> np.ndarray:
     """Normalised kernel vectors, dense: for a bounded number of words."""
     codes, starts = _coded(words)
-    out = np.zeros((len(words), LETTERS ** 3), np.float32)
+    out = np.zeros((len(words), BUCKETS), np.float32)
     norm = np.zeros(len(words))
     for at, sub, weight in _subsequences(codes):
         row = np.searchsorted(starts, at, side="right") - 1
@@ -125,7 +125,7 @@ class Model:
 def fit_words(positive: list[str], negative: list[str], hard: list[str] = (), seed: int = 3) -> Model:
     """``hard``: negative words that a first model took for positive ones; some become landmarks."""
     if not positive or not negative:
-        return Model(np.zeros(LETTERS ** 3), -1.0)
+        return Model(np.zeros(BUCKETS), -1.0)
     rng = np.random.default_rng(seed)
     words = [*positive, *negative, *hard]
     y = np.concatenate((np.ones(len(positive)), -np.ones(len(words) - len(positive))))

@@ -143,6 +143,21 @@ def test_toxicity_gaps_and_letters_of_all_scripts():
     assert min(model.decide(["придурок", "\u2022".join("придурок")])) > 0 > max(model.decide(["урок", "хорошими"]))
 
 
+def test_toxicity_telling_words_by_significance(spark):
+    """Counts are of documents: relative to their number, copies once, a fixed phrase like any other word."""
+    assert set(toxicity.telling_counts([(4, 0, 1), (1, 0, 2000), (9, 60, 5)], 9, 60)) == {(4, 0)}  # one document proves nothing
+    assert not toxicity.telling_counts([(6, 0, 3), (4, 4, 3000)], 2000, 2000)
+    rows = [(i, f"house{i} you utter moron garden{i} river{i * 7}") for i in range(12)]
+    rows += [(20 + i, "garden window lamprey table noise of one copied passage") for i in range(8)]
+    rows += [(100 + i, f"house{i} you garden{i} window table{i} of noise river{i}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = {r.word: r.n for r in toxicity._documents_of(toxicity._words(docs.where("doc_id < 100")), "n").collect()}
+    assert counts["moron"] == counts["utter"] == 12 and counts["lamprey"] == 1
+    model = toxicity.fit(docs, docs.select("doc_id", F.expr("cast(doc_id < 100 as int)").alias("toxic")), F.lit(True))
+    moron, lamprey, garden = model.decide(["moron", "lamprey", "garden"])
+    assert moron > 0 > max(lamprey, garden)
+
+
 def test_language_without_letters():
     import numpy as np
     rows = [(lang, *(x.astype(float) if i else x for i, x in enumerate(np.unique(language.grams(t), return_counts=True))))

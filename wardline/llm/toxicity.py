@@ -7,11 +7,13 @@ that are no letters, of whatever block, only widen gaps, digits that imitate let
 of single characters between spaces are read as one word; so gapped insults and insults with inserted
 characters stay near the plain ones.
 
-A sentence carries the label of its document. Its label rests on the words that toxic sentences share in
-many different contexts and clean ones hardly have (a copied passage is one context): these are the
-positive examples, words of clean sentences the negative ones. The machine (squared hinge, Newton steps)
-is linear in the Nyström features of ``LANDMARKS`` words, so its decision folds into one weight per
-subsequence. A text's decision is that of its strongest word, and a logistic curve makes it a score.
+Positive examples are telling words: their share of the toxic documents is ``ODDS`` times that of the clean
+ones or more, and an exact test of the two counts of documents (Fisher, one-sided) finds them with a share of
+``FALSE_SHARE`` false ones at most (Benjamini and Hochberg, over the words that are in enough documents for
+the test to succeed at all, as by Tarone). Documents that hold a word in the same passage count once. Other
+words of these documents are the negative examples. The machine (squared hinge, Newton steps) is linear in
+the Nyström features of ``LANDMARKS`` words, so its decision folds into one weight per subsequence. A text's
+decision is that of its strongest word, and a logistic curve makes it a score.
 
 Fitting sees at most ``TOXIC`` and ``CLEAN`` documents (smallest hash of the id); scoring reads whole texts.
 Null and empty texts have no word and the lowest score. Every row gives one row.
@@ -22,6 +24,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from math import exp, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,10 @@ from pyspark.sql import functions as F
 
 from wardline.llm.ragged import Memo, Pieces
 from wardline.llm.tables import by_chunk, id_crc
+from wardline.session import cut
 
-TOXIC, CLEAN, CANDIDATES, NEGATIVES, HARD = 2000, 10_000, 3000, 3000, 600
-LANDMARKS, SPAN, DECAY, CONTEXTS, ODDS = 300, 8, 0.5, 6, 10
+TOXIC, CLEAN, TELLING, NEGATIVES, HARD = 2000, 10_000, 3000, 3000, 600
+LANDMARKS, SPAN, DECAY, ODDS, FALSE_SHARE = 300, 8, 0.5, 10, 0.05
 THRESHOLD, FLOOR = 0.3, -3.0
 BUCKETS = 1 << 16
 GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
@@ -150,9 +154,45 @@ def fit_words(positive: list[str], negative: list[str], hard: list[str] = (), se
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    return (docs.select(F.split(F.lower("text"), r"[^\p{L}\p{N}]+").alias("w"))
-            .select("w", F.posexplode("w").alias("at", "word")).where("length(word) > 2")
-            .select("word", F.when(F.col("at") > 0, F.get("w", F.col("at") - 1)).otherwise("").alias("before")))
+    """doc_id, word, near (hash of the word with three neighbours on each side)."""
+    return (docs.select("doc_id", F.split(F.lower("text"), r"[^\p{L}\p{N}]+").alias("w"))
+            .select("doc_id", "w", F.posexplode("w").alias("at", "word")).where("length(word) > 2")
+            .select("doc_id", "word", F.xxhash64(F.slice("w", F.greatest(F.col("at") - 2, F.lit(1)), 7)).alias("near")))
+
+
+def _documents_of(words: DataFrame, name: str) -> DataFrame:
+    """In how many documents each word is; those that have it in the same passage count once."""
+    return (words.groupBy("word", "doc_id").agg(F.min("near").alias("near"))
+            .groupBy("word").agg(F.count_distinct("near").alias(name)))
+
+
+def upper_tail(bad: int, good: int, n_bad: int, n_good: int) -> float:
+    """Chance of ``bad`` toxic documents or more among ``bad + good`` of all, if labels were dealt at random."""
+    drawn = bad + good
+
+    def log_choose(n: int, k: int) -> float:
+        return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+
+    whole = log_choose(n_bad + n_good, drawn)
+    return min(1.0, sum(exp(log_choose(n_bad, k) + log_choose(n_good, drawn - k) - whole)
+                        for k in range(bad, min(n_bad, drawn) + 1) if drawn - k <= n_good))
+
+
+def telling_counts(pairs: list[tuple[int, int, int]], n_bad: int, n_good: int) -> dict[tuple[int, int], float]:
+    """The significant of the pairs (toxic documents, clean documents, words with these counts), with their chances."""
+    reach = {k: upper_tail(min(k, n_bad), max(0, k - n_bad), n_bad, n_good) for k in {bad + good for bad, good, _ in pairs}}
+    least = sorted((reach[bad + good], n) for bad, good, n in pairs)
+    tests = 1
+    while (able := sum(n for p, n in least if p * tests <= FALSE_SHARE)) > tests:
+        tests = tests + 1 if able < tests + 100 else tests + (able - tests) // 50
+    found = sorted((upper_tail(bad, good, n_bad, n_good), bad, good, n) for bad, good, n in pairs
+                   if reach[bad + good] * tests <= FALSE_SHARE)
+    rank, last = 0, -1
+    for i, (p, _, _, n) in enumerate(found):
+        rank += n
+        if p * able <= FALSE_SHARE * rank:
+            last = i
+    return {(bad, good): p for p, bad, good, _ in found[:last + 1] if bad * n_good >= ODDS * n_bad * good}
 
 
 def _hard_words(clean: DataFrame, model: Model) -> list[str]:
@@ -178,17 +218,16 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
         return text.join(F.broadcast(ids), "doc_id", "left_semi")  # at most ``limit`` ids
 
     bad, good = some(1, TOXIC), some(0, CLEAN)
-    n_bad, n_good = bad.count(), good.count()
+    n_bad, n_good = (x.select(F.xxhash64("text")).distinct().count() for x in (bad, good))  # a copied text is one
     if not n_bad or not n_good:
         return fit_words([], [])
-    candidates = (_words(bad).distinct().groupBy("word").agg(F.count("*").alias("contexts"))
-                  .where(F.col("contexts") >= CONTEXTS).orderBy(F.desc("contexts"), "word").limit(CANDIDATES))
-    clean = _words(good)
-    seen = clean.join(F.broadcast(candidates), "word").groupBy("word").agg(F.count("*").alias("seen"))
-    rows = (candidates.join(seen, "word", "left").select("word", "contexts", F.coalesce("seen", F.lit(0)).alias("seen"))
-            .orderBy(F.desc("contexts"), "word").limit(CANDIDATES).collect())
-    telling = [r["word"] for r in rows if r["contexts"] * n_good >= ODDS * n_bad * (r["seen"] + 1)]
-    common = [r["word"] for r in rows if r["seen"] * n_bad * 2 >= r["contexts"] * n_good]
+    counts = cut(_documents_of(_words(bad), "bad").join(_documents_of(_words(good), "good"), "word", "left").fillna(0, ["good"]))
+    pairs = [tuple(r) for r in counts.groupBy("bad", "good").count().collect()]  # at most TOXIC x CLEAN, few in fact
+    chances = [(b, g, p) for (b, g), p in telling_counts(pairs, n_bad, n_good).items()]
+    tested = F.broadcast(docs.sparkSession.createDataFrame(chances, "bad long, good long, chance double"))  # a row per pair
+    telling = [r["word"] for r in counts.join(tested, ["bad", "good"]).orderBy("chance", "word").limit(TELLING).collect()]
+    common = [r["word"] for r in counts.where(F.col("good") * n_bad * 2 >= F.col("bad") * n_good)
+              .orderBy(F.desc("bad"), "word").limit(NEGATIVES).collect()]
     rare = [r["word"] for r in _words(some(0, TOXIC)).select("word").distinct().orderBy(F.xxhash64("word"), "word")
             .limit(NEGATIVES).collect()]
     negative = sorted({*common, *rare} - {*telling})

@@ -167,6 +167,19 @@ def test_language_without_letters():
     assert model.predict("the lord")[0] == "en" and model.predict("das haus " * 60_000)[0] == "de"
 
 
+def test_language_learns_every_language(spark, monkeypatch):
+    """More languages than the 200 of an earlier limit; the sample of each is the least by hash."""
+    monkeypatch.setattr(language, "SAMPLE", 4)
+    rows = [(1000 * k + i, f"text {chr(0x4E00 + k) * 5} {i}", f"l{k:03}") for k in range(206) for i in range(9 if k < 200 else 3)]
+    rows += [(1000 * k + i, None, f"l{k:03}") for k in range(206) for i in range(400, 402)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language, "fit_rows", lambda rows, idf: seen.extend(rows))
+    language.fit(docs, F.lit(True))
+    counts = {k: sum(r[0] == k for r in seen) for k in {r[0] for r in seen}}
+    assert len(counts) == 206 and counts["l000"] == 4 and counts["l205"] == 3
+
+
 def test_quality_prior_and_empty_training():
     import numpy as np
     rng = np.random.default_rng(0)

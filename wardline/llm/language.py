@@ -5,7 +5,8 @@ are hashed into ``BUCKETS``. Term frequency is the share of the text's n-grams,
 scores are means of per-n-gram weights, whatever its length. Document frequencies come from all documents.
 Weights are trained by follow-the-regularised-leader, coordinate by coordinate, with L1 and L2 penalties
 over shuffled passes, on at most ``SAMPLE`` documents per language (smallest hash of the id); a temperature is
-then fitted on a fifth of these, held back.
+then fitted on a fifth of these, held back. Every language is learned, however many there are: with more than
+``DOCUMENTS / SAMPLE`` of them each gives fewer documents, ``LEAST`` at least.
 
 ``und`` with score 0 if the text is null or has no letter, or nothing could be learned. Every row gives
 one row.
@@ -17,13 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.tables import chunks, id_crc
 
 BUCKETS = 1 << 16
-SAMPLE = 500
+SAMPLE, DOCUMENTS, LEAST = 500, 100_000, 20
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.01
 PASSES = 4
 SCALE = 60.0
@@ -151,16 +152,20 @@ def fit(docs: DataFrame, usable: Column) -> Model:
     """``usable``: a condition on doc_id for rows whose language may be seen."""
     known = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
     ids = known.select("doc_id", "lang")
-    names = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
-    some = None
-    for name in names:  # a bounded top of each language, without sorting any language in one task
-        own = ids.where(F.col("lang") == name).select("doc_id").distinct().orderBy(F.hash("doc_id"), "doc_id").limit(SAMPLE)
-        some = own if some is None else some.unionByName(own)
-    if some is None:
+    counts = ids.distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return fit_rows([], np.ones(BUCKETS))
+    size = min(SAMPLE, max(LEAST, DOCUMENTS // languages))
+    place = (F.hash("doc_id").cast("double") + 2.0 ** 31) / 2.0 ** 32
+    # the least hashes of each language, twice as many as needed, so that none is sorted whole in one task
+    first = (ids.join(F.broadcast(counts), "lang").where(place * F.col("n") <= 2 * size + 100)  # counts: a row per language
+             .select("lang", "doc_id").distinct())
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.hash("doc_id"), "doc_id"))
+    some = first.withColumn("rank", rank).where(F.col("rank") <= size).select("doc_id")
     sample = (known.join(F.broadcast(some), "doc_id", "left_semi").select("doc_id", "lang", "text")
               .mapInArrow(_counted, "doc_id long, lang string, bucket array<int>, n array<int>"))
-    rows = sample.orderBy("doc_id").limit(SAMPLE * len(names)).collect()
+    rows = sample.orderBy("doc_id").limit(size * languages).collect()
     return fit_rows([(r["lang"], np.array(r["bucket"], np.int64), np.array(r["n"], float)) for r in rows],
                     inverse_frequencies(docs))
 

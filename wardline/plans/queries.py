@@ -12,7 +12,7 @@ from wardline.functions import scalars
 from wardline.functions.wording import fallback_strength, full_sentence
 from wardline.models.attribution import attributions
 from wardline.models.autoencoder import linear_score, network_score, train_autoencoder
-from wardline.models.boosted import random_forest_scores, score_boosted, train_boosted
+from wardline.models.boosted import random_forest_scores
 from wardline.models.forest import forest_score, train_forest
 from wardline.operators import alerts, drift, evaluate, graph, scoring, splits
 from wardline.operators.balance import class_weights, fill_medians, standardise, with_fill
@@ -23,6 +23,7 @@ from wardline.plans import oracles as o
 from wardline.plans.results import (
     TEST_CONFIG, entities_of, features_of, results_of, scored_of,
 )
+from wardline.plans.training import fit_classifier, predict
 from wardline.session import cut
 from wardline.sources.entities import host_owners
 from wardline.sources.events import access_events
@@ -854,15 +855,14 @@ _models: dict[tuple, object] = {}
 
 
 def _boosted(spark, sf_dir):
-    """The classifier is trained once per session and data folder."""
-    df, train = _train_split(spark, sf_dir)
+    """The classifier of the training job (oversampled, 300 rounds) is trained once per session and data folder."""
+    df, _ = _train_split(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
-        weighted = train.join(F.broadcast(class_weights(train)), "target")  # one row per class
-        _models[key] = train_boosted(weighted, rounds=4, depth=4, weight="weight")
+        _models[key] = fit_classifier(df)
     model = _models[key]
     plain = df.drop("probs", "pred_label", "confidence", "attack_prob", "raw_label", "raw_confidence")
-    return model, scoring.gate_classes(score_boosted(model, plain))
+    return model.boosted, predict(plain, model)
 
 
 @register("boosted_predictions")
@@ -874,7 +874,8 @@ def boosted_predictions(spark, sf_dir):
 def forest_predictions(spark, sf_dir):
     df, train = _train_split(spark, sf_dir)
     plain = df.drop("probs", "pred_label", "confidence", "attack_prob", "raw_label", "raw_confidence")
-    out = scoring.gate_classes(random_forest_scores(train, plain, trees=20, depth=6))
+    balanced = cut(smote(train.select("target", *FEATURES)))
+    out = scoring.gate_classes(random_forest_scores(balanced, plain))
     return out.select("event_id", "clf_split", "target", "pred_label", "confidence", "attack_prob")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wardline.llm import language, quality, toxicity
 from wardline.llm.byte_bpe import encode_decode
 from wardline.llm.decontaminate import decontaminate
+from wardline.llm.filter_audit import audit
 from wardline.llm.line_dedup import dedup_lines
 from wardline.llm.search import bm25
 from wardline.llm.secret_scan import scan_secrets
@@ -122,6 +123,41 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
+OP11_SQL = """
+with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+                  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+d as (select doc_id, part,
+             case when len(words) < 50 then 'A' else '' end
+             || case when 100 * len(list_distinct(words)) < 65 * len(words) then 'B' else '' end
+             || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) then 'C' else '' end
+             || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+             || case when doc_id > min(doc_id) over (partition by t) then 'E' else '' end as fails from w),
+l as (select doc_id, max(cast(coalesce(quality = 1, false) as int)) as good, max(cast(coalesce(toxic = 1, false) as int)) as toxic
+      from labels group by doc_id),
+g as (select part, fails, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic
+      from d left join l using (doc_id) group by all),
+x(x) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+s as (select a.x || b.x || c.x || e.x || f.x as filter_order, unnest(range(1, 6)) as step from x a, x b, x c, x e, x f
+      where len(list_distinct([a.x, b.x, c.x, e.x, f.x])) = 5),
+p as (select filter_order, cast(step as int) as step, filter_order[step] as own, filter_order[:step - 1] as earlier from s),
+r as (select part, filter_order, step, own, n, good, toxic, fails = own as alone,
+             contains(fails, own) as fail, translate(fails, earlier, '') <> fails as gone from g, p),
+c as (select part, filter_order, step, own,
+             sum(n) filter (where not gone and not fail) as kept, sum(n) filter (where not gone and fail) as removed,
+             sum(n) filter (where gone and fail) as redundant, sum(n) filter (where alone) as unique_fails,
+             sum(good) filter (where not gone and fail) as good_lost, sum(toxic) filter (where not gone and fail) as toxic_lost
+      from r group by all)
+select part, filter_order, step, cast(coalesce(kept, 0) as bigint) as kept, cast(coalesce(removed, 0) as bigint) as removed,
+       cast(coalesce(redundant, 0) as bigint) as redundant, cast(coalesce(unique_fails, 0) as bigint) as unique_fails,
+       cast(coalesce(good_lost, 0) as bigint) as good_lost, cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost,
+       cast(coalesce(sum(removed) over (partition by part, own), 0) as bigint) as shapley
+from c"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -130,5 +166,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_search, op3_simhash, op4_toxicity, op5_token_files, op6_byte_bpe, op7_secrets, op8_quality,
-    op9_line_dedup, op10_language, pipeline)}
-ORACLES = {"op1_decontamination": OP1_SQL, "op2_search": OP2_SQL, "op9_line_dedup": OP9_SQL}
+    op9_line_dedup, op10_language, op11_filter_audit, pipeline)}
+ORACLES = {"op1_decontamination": OP1_SQL, "op2_search": OP2_SQL, "op9_line_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL}

@@ -11,6 +11,7 @@ from wardline.llm.byte_bpe import encode_decode
 from wardline.llm.decontaminate import decontaminate
 from wardline.llm.filter_audit import audit
 from wardline.llm.line_dedup import dedup_lines
+from wardline.llm.packing import pack_documents
 from wardline.llm.search import bm25
 from wardline.llm.secret_scan import scan_secrets
 from wardline.llm.simhash import near_groups
@@ -158,6 +159,12 @@ select part, filter_order, step, cast(coalesce(kept, 0) as bigint) as kept, cast
 from c"""
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+                            END_OF_DOCUMENT)
+    return packed.drop("part", "row")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -166,5 +173,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_search, op3_simhash, op4_toxicity, op5_token_files, op6_byte_bpe, op7_secrets, op8_quality,
-    op9_line_dedup, op10_language, op11_filter_audit, pipeline)}
+    op9_line_dedup, op10_language, op11_filter_audit, op12_packing, pipeline)}
 ORACLES = {"op1_decontamination": OP1_SQL, "op2_search": OP2_SQL, "op9_line_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL}

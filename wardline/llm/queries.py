@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import language, quality, toxicity
+from wardline.llm.alignment import align_tokenizers
 from wardline.llm.byte_bpe import encode_decode
 from wardline.llm.decontaminate import decontaminate
 from wardline.llm.filter_audit import audit
@@ -165,6 +166,11 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.drop("part", "row")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+                            public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -173,5 +179,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_search, op3_simhash, op4_toxicity, op5_token_files, op6_byte_bpe, op7_secrets, op8_quality,
-    op9_line_dedup, op10_language, op11_filter_audit, op12_packing, pipeline)}
+    op9_line_dedup, op10_language, op11_filter_audit, op12_packing, op13_alignment, pipeline)}
 ORACLES = {"op1_decontamination": OP1_SQL, "op2_search": OP2_SQL, "op9_line_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL}

@@ -186,7 +186,7 @@ class Places:
 class Coder:
     def __init__(self, path: str, pattern: str):
         self.letters = ByteLevel(path, pattern, special=True)
-        self.memo = Memo(self.letters.encode, 120_000)
+        self.memo = Memo(self.letters.encode, 250_000)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end``; how many each has)."""

@@ -30,8 +30,15 @@ class Segments:
     """
 
     def __init__(self, texts: pa.Array, lead: bool):
-        pieces = Pieces(texts, lead)
-        self.distinct, self.at, self.bounds = pieces.distinct, pieces.at, pieces.bounds
+        nul = lead and pc.any(pc.match_substring(texts, "\0")).as_py()
+        if lead and not nul:  # a mark before each space keeps the space in its piece
+            lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), " ", "\0 "), "\0")
+            coded = lists.flatten().dictionary_encode()
+            self.bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            self.distinct, self.at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        else:
+            pieces = Pieces(texts, lead)
+            self.distinct, self.at, self.bounds = pieces.distinct, pieces.at, pieces.bounds
         odd = pc.match_substring_regex(pa.array(self.distinct, pa.large_string()), ODD_LED if lead else ODD).to_numpy(zero_copy_only=False)
         if not odd.any():
             return
@@ -67,7 +74,7 @@ class ByteLevel:
 
     WORD, MARKED, PLAIN = f"^ ?[{LETTERS}]+$", f"^ ?[{LETTERS}]+[.,;:!?]$", f"^[\t\n !-~{LETTERS}]*$"
 
-    def __init__(self, path: str, pattern: str, special: bool):
+    def __init__(self, path: str, pattern: str, special: bool, held: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -81,7 +88,7 @@ class ByteLevel:
         self.specials = [t["content"] for t in made["added_tokens"]] if special else []
         self.letters = byte_letters()
         self.pattern = regex.compile(pattern)
-        self.stretches = Memo(self._stretches, 150_000)
+        self.stretches = Memo(self._stretches, held)
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of each id."""

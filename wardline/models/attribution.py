@@ -1,93 +1,119 @@
 """Exact path-dependent tree attributions (Lundberg et al., 2018) for the boosted classifier.
 
-A tree is the sum of its leaves, and a leaf is a product of one condition per feature on its path.
-Shapley values of such a product follow from a short polynomial per leaf, which is evaluated for a
-whole Arrow batch of alerts at once.
+A tree is the sum of its leaves, and a leaf is a product of one condition per feature on its path: with d
+conditions, a row meets one of 2^d patterns of them. What a leaf gives each of its features depends on the
+pattern alone, so a table of all patterns is computed once per leaf, and a row costs one lookup a leaf. Leaves with
+equally many conditions are handled together, a bounded number at a time.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.models.boosted import BoostedModel
-from wardline.session import checkpoint_dir
 
+CELLS = 1 << 21  # rows x leaves looked up at once
 
-_built: dict[int, tuple] = {}
 
+@dataclass(frozen=True)
+class Paths:
+    """All leaves of a class with ``feature.shape[1]`` conditions."""
 
-def _leaves(spark: SparkSession, model: BoostedModel) -> dict[str, list]:
-    """Per class: (value, [(feature, low, high, share of cover)]) of every leaf; built once per model.
-
-    Read from the saved form of the model, which has rounds x 2^(depth+1) nodes per class at most.
-    """
-    if id(model) in _built:
-        return _built[id(model)][1]
-    folder = f"{checkpoint_dir(spark)}/trees-{uuid.uuid4().hex}"
-    with ThreadPoolExecutor(len(model.models)) as pool:
-        list(pool.map(lambda cm: cm[1].save(f"{folder}/class={cm[0]}/model"), model.models.items()))
-    rows = spark.read.parquet(*[f"{folder}/class={c}/model/data" for c in model.models]).select(
-        F.regexp_extract(F.input_file_name(), "class=([^/]+)/", 1).alias("cls"), "treeID", "nodeData.*").collect()
-    trees: dict[tuple, dict] = {}
-    for r in rows:
-        trees.setdefault((r["cls"], r["treeID"]), {})[r["id"]] = r
-    out: dict[str, list] = {c: [] for c in model.models}
-    for (c, t), nodes in sorted(trees.items()):
-        _walk(nodes, 0, {}, 2 * float(model.models[c].treeWeights[t]), out[c])
-    _built[id(model)] = (model, out)
-    return out
+    feature: np.ndarray  # leaf x condition
+    low: np.ndarray  # met when low < x <= high
+    high: np.ndarray
+    table: np.ndarray  # leaf x pattern x condition
 
 
-def _walk(nodes: dict, at: int, path: dict, weight: float, out: list) -> None:
-    n = nodes[at]
-    if n["leftChild"] < 0:
-        out.append((weight * n["prediction"], [(f, *c) for f, c in path.items()]))
+def leaves(feature: np.ndarray, cut: np.ndarray, value: np.ndarray, cover: np.ndarray, at: int = 0, path: dict | None = None):
+    """(value, {feature: (low, high, share of cover)}) of each leaf of one tree."""
+    path = path or {}
+    f = int(feature[at])
+    if f < 0:
+        yield float(value[at]), path
         return
-    f = n["split"]["featureIndex"]
-    cut = n["split"]["leftCategoriesOrThreshold"][0]
     low, high, share = path.get(f, (-math.inf, math.inf, 1.0))
-    for child, lo, hi in ((n["leftChild"], low, min(high, cut)), (n["rightChild"], max(low, cut), high)):
-        part = nodes[child]["rawCount"] / n["rawCount"] if n["rawCount"] else 0.0
-        _walk(nodes, child, {**path, f: (lo, hi, share * part)}, weight, out)
+    for child, lo, hi in ((2 * at + 1, low, min(high, cut[at])), (2 * at + 2, max(low, cut[at]), high)):
+        part = cover[child] / cover[at] if cover[at] else 0.0
+        yield from leaves(feature, cut, value, cover, child, {**path, f: (lo, hi, share * part)})
 
 
-def _leaf_effects(x: np.ndarray, value: float, conditions: list, phi: np.ndarray) -> None:
-    d = len(conditions)
-    inside = [((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in conditions]
-    share = [c[3] for c in conditions]
-    weight = [math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d) for s in range(d)]
+def pattern_table(value: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """What each condition gets under each pattern (bit c: condition c is met), for leaves (values, leaf x condition shares).
+
+    A coalition's value is the leaf's, times 1 or 0 for each member as its condition is met, times the share for the rest.
+    """
+    d = share.shape[1]
+    met = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float)  # pattern x condition
+    out = np.zeros((len(value), 1 << d, d))
     for i in range(d):
-        poly = [np.ones(len(x))]
-        for j in range(d):
-            if j == i:
-                continue
-            grown = [p * share[j] for p in poly] + [np.zeros(len(x))]
-            for s, p in enumerate(poly):
-                grown[s + 1] = grown[s + 1] + p * inside[j]
-            poly = grown
-        total = sum(w * p for w, p in zip(weight, poly))
-        phi[:, conditions[i][0]] += value * (inside[i] - share[i]) * total
+        others = [j for j in range(d) if j != i]
+        for members in range(1 << (d - 1)):
+            term = np.ones((len(value), 1 << d))
+            for b, j in enumerate(others):
+                term *= met[None, :, j] if members >> b & 1 else share[:, None, j]
+            size = members.bit_count()
+            out[:, :, i] += math.factorial(size) * math.factorial(d - size - 1) / math.factorial(d) * term
+        out[:, :, i] *= value[:, None] * (met[None, :, i] - share[:, None, i])
+    return out
+
+
+def paths_of(model: BoostedModel) -> dict[str, list[Paths]]:
+    """Per class: its leaves by number of conditions, with their tables; bounded by the trees' size."""
+    out = {}
+    for k, c in enumerate(model.classes):
+        found: dict[int, list] = {}
+        for r in range(model.feature.shape[0]):
+            for value, path in leaves(model.feature[r, k], model.cut[r, k], model.value[r, k], model.cover[r, k]):
+                if path:
+                    found.setdefault(len(path), []).append((value, list(path.items())))
+        out[c] = []
+        for _, own in sorted(found.items()):
+            feature, low, high, share = (np.array([[item(p) for p in path] for _, path in own]) for item in (
+                lambda p: p[0], lambda p: p[1][0], lambda p: p[1][1], lambda p: p[1][2]))
+            out[c].append(Paths(feature, low, high, pattern_table(np.array([v for v, _ in own]), share)))
+    return out
 
 
-def base_values(spark: SparkSession, model: BoostedModel) -> dict[str, float]:
-    """Expected log-odds per class: attributions of a row add up to its margin minus this."""
-    return {c: sum(v * math.prod(cond[3] for cond in path) for v, path in leaves)
-            for c, leaves in _leaves(spark, model).items()}
+def effects(x: np.ndarray, paths: list[Paths]) -> np.ndarray:
+    """Attributions of rows ``x``: row x feature."""
+    phi = np.zeros(x.shape)
+    for p in paths:
+        n, d = p.feature.shape
+        step = max(1, CELLS // max(1, len(x) * d))
+        for a in range(0, n, step):
+            feature, low, high = p.feature[a:a + step], p.low[a:a + step], p.high[a:a + step]
+            pattern = np.zeros((len(x), len(feature)), np.int64)
+            for c in range(d):
+                v = x[:, feature[:, c]]
+                pattern |= ((v > low[:, c]) & (v <= high[:, c])).astype(np.int64) << c
+            given = p.table[np.arange(a, a + len(feature)), pattern]  # row x leaf x condition
+            flat = given.reshape(len(x), -1)
+            order = np.argsort(feature.ravel(), kind="stable")
+            owner = feature.ravel()[order]
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            phi[:, owner[starts]] += np.add.reduceat(flat[:, order], starts, axis=1)
+    return phi
+
+
+def base_values(model: BoostedModel) -> dict[str, float]:
+    """Expected logit per class: attributions of a row add up to its margin minus this."""
+    return {c: sum(value * math.prod(s for *_, s in path.values())
+                   for r in range(model.feature.shape[0])
+                   for value, path in leaves(model.feature[r, k], model.cut[r, k], model.value[r, k], model.cover[r, k]))
+            for k, c in enumerate(model.classes)}
 
 
 def attributions(df: DataFrame, model: BoostedModel, label: str = "pred_label") -> DataFrame:
-    """Long (event_id, predicted_label, feature, value, shap_value) toward each row's predicted class,
-    in log-odds units of that class's one-vs-rest ensemble."""
-    spark = df.sparkSession
+    """Long (event_id, predicted_label, feature, value, shap_value) toward the logit of each row's predicted class."""
     features = model.features
-    shared = spark.sparkContext.broadcast(_leaves(spark, model))
+    shared = df.sparkSession.sparkContext.broadcast(paths_of(model))
     id_type = df.schema["event_id"].dataType.simpleString()
 
     def explain(batches):
@@ -95,9 +121,7 @@ def attributions(df: DataFrame, model: BoostedModel, label: str = "pred_label")
             x = frame[features].to_numpy(float)
             for c, index in frame.groupby("predicted_label").indices.items():
                 part = x[index]
-                phi = np.zeros_like(part)
-                for value, conditions in shared.value.get(c, []):
-                    _leaf_effects(part, value, conditions, phi)
+                phi = effects(part, shared.value.get(c, []))
                 n = len(index)
                 yield pd.DataFrame({
                     "event_id": np.repeat(frame["event_id"].to_numpy()[index], len(features)),

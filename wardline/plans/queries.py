@@ -855,19 +855,20 @@ _models: dict[tuple, object] = {}
 
 
 def _boosted(spark, sf_dir):
-    """The classifier of the training job (oversampled, 300 rounds) is trained once per session and data folder."""
+    """The classifier of the training job (oversampled, 300 rounds) and its predictions: made once per session and data folder."""
     df, _ = _train_split(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
-        _models[key] = fit_classifier(df)
-    model = _models[key]
-    plain = df.drop("probs", "pred_label", "confidence", "attack_prob", "raw_label", "raw_confidence")
-    return model.boosted, predict(plain, model)
+        model = fit_classifier(df)
+        plain = df.drop("probs", "pred_label", "confidence", "attack_prob", "raw_label", "raw_confidence")
+        _models[key] = model.boosted, cut(predict(plain, model).select(
+            "event_id", "clf_split", "target", "pred_label", "confidence", "attack_prob", *FEATURES))
+    return _models[key]
 
 
 @register("boosted_predictions")
 def boosted_predictions(spark, sf_dir):
-    return _boosted(spark, sf_dir)[1].select("event_id", "clf_split", "target", "pred_label", "confidence", "attack_prob")
+    return _boosted(spark, sf_dir)[1].drop(*FEATURES)
 
 
 @register("forest_predictions")

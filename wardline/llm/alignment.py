@@ -78,7 +78,7 @@ class Aligner:
     """Segments to what their tokens are: (numbers of A tokens, B tokens and groups; pairs linked; groups as text)."""
 
     def __init__(self, letters: str, pattern: str, pieces: str):
-        self.a, self.b = ByteLevel(letters, pattern, special=False), PieceModel(pieces)
+        self.a, self.b = ByteLevel(letters, pattern, special=False, held=100_000), PieceModel(pieces)
         self.bytes, self.size, self.start, self.shown = [], [], [], []
         for names in self.a.token_bytes(), self.b.token_bytes:
             size = np.fromiter(map(len, names), np.int64, len(names))
@@ -87,7 +87,7 @@ class Aligner:
             self.start.append(ends_of(size)[:-1])
             # every id before each of the marks that may follow it in a segment
             self.shown.append(pa.array([f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(len(names))], pa.large_string()))
-        self.memo = Memo(self.align, 100_000)
+        self.memo = Memo(self.align, 60_000)
 
     def _sound(self, ids: list[np.ndarray], counts: list[np.ndarray], plain: list[bytes]) -> np.ndarray:
         """Which segments both tokenizers spell."""
@@ -215,7 +215,7 @@ def _blocks(paths: tuple[str, str, str], with_groups: bool):
 
         own, number = aligner(*paths), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for rows in chunks(batch, "text"):
+            for rows in chunks(batch, "text", 4 << 20):
                 yield align_block(own, rows["doc_id"], rows["text"], number, with_groups)
                 number += 1
     return run

@@ -41,15 +41,23 @@ def covered_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                  .alias("covered")))
 
 
+def _free(name: str, columns: list[str]) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the text after removal, and, after its own columns, n_lines, n_removed."""
+    """``docs`` with the text after removal, and, after its own columns, n_lines, n_removed. Where ``docs`` has a column of
+    such a name, its own stays and the added one gets underscores at its end."""
     cover = covered_lines(docs, doc_id, text)
     base = docs.select(F.struct("*").alias("row"), text_key(F.col(text)).alias("key"))  # no name of ``docs`` meets one of ours
-    joined = base.join(cover, F.col(f"row.{doc_id}").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("version")), "left")
-    lines = F.split(f"row.{text}", "\n", -1)
-    rest = F.concat_ws("\n", F.filter(lines, lambda _, i: ~F.array_contains("covered", i)))
+    joined = (base.join(cover, F.col(f"row.{doc_id}").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("version")), "left")
+              .select("row", "covered", F.split(f"row.{text}", "\n", -1).alias("lines")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "covered")  # in order, by a hash set
+    rest = F.concat_ws("\n", F.transform(left, lambda i: F.get("lines", i)))
     rest = F.when(F.col("covered").isNull(), F.col(f"row.{text}")).otherwise(rest)
     return joined.select(
         *[rest.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long").alias("n_removed"))
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias(_free("n_lines", docs.columns)),
+        F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long").alias(_free("n_removed", docs.columns)))

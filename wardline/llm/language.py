@@ -2,7 +2,8 @@
 
 N-grams of one to three characters of the text in lower case, digits and marks made one character each,
 are hashed into ``BUCKETS``. Term frequency is the share of the text's n-grams, so a whole text's class
-scores are means of per-n-gram weights, whatever its length. Document frequencies come from all documents.
+scores are means of per-n-gram weights, whatever its length. Document frequencies come from all documents that
+may be learned from, with a language, so that texts held out change no weight.
 Weights are trained by follow-the-regularised-leader, coordinate by coordinate, with L1 and L2 penalties
 over shuffled passes, on at most ``SAMPLE`` documents per language (smallest hash of the id); a temperature is
 then fitted on a fifth of these, held back. Every language is learned, however many there are: with more than
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, usable: Column) -> Model:
               .mapInArrow(_counted, "doc_id long, lang string, bucket array<int>, n array<int>"))
     rows = sample.orderBy("doc_id").limit(size * languages).collect()
     return fit_rows([(r["lang"], np.array(r["bucket"], np.int64), np.array(r["n"], float)) for r in rows],
-                    inverse_frequencies(docs))
+                    inverse_frequencies(known))
 
 
 def predict_language(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

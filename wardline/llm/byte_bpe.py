@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.ragged import Memo, Pieces, ends_of, gather
-from wardline.llm.tables import chunks
+from wardline.llm.tables import chunks, resident
 
 NONE = -1
 UNMERGED = 1 << 60
@@ -126,8 +125,9 @@ class Transducer:
                         raise ValueError("these ranks do not give one encoding")
                     size, token = self.depth[node], own
             if at == len(self.closing):
-                self.closing, self.closed = (np.concatenate((x, np.zeros_like(x))) for x in (self.closing, self.closed))
-                self.moves = np.concatenate((self.moves, np.full_like(self.moves, NONE)))
+                more = at // 4  # not twofold: ``moves`` is the largest table
+                self.closing, self.closed = (np.concatenate((x, np.zeros_like(x[:more]))) for x in (self.closing, self.closed))
+                self.moves = np.concatenate((self.moves, np.full_like(self.moves[:more], NONE)))
             self.closing[at], self.closed[at] = size, token
         return at
 
@@ -327,11 +327,13 @@ class Encoder:
         return np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
 
 
-@cache
 def coders(path: str, pattern: str) -> tuple[Encoder, Decoder]:
-    """Of this worker process, for all its tasks."""
-    encoder = Encoder(path, pattern)
-    return encoder, Decoder(encoder.ranks)
+    """Of this worker process, for all its tasks of this operator."""
+    def build():
+        encoder = Encoder(path, pattern)
+        return encoder, Decoder(encoder.ranks)
+
+    return resident(("byte-level BPE", path, pattern), build)
 
 
 def _runner(path: str, pattern: str, with_ids: bool):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.tables import by_chunk, chunks, id_crc
+from wardline.llm.tables import by_chunk, chunks, id_crc, resident
 
 POSITIVES, UNLABELLED = 4000, 8000
 THRESHOLD = 0.3
@@ -60,6 +60,7 @@ def features(text: str | None) -> list[float]:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    resident(None)
     for batch in batches:
         for rows in chunks(batch, "text"):
             yield pa.RecordBatch.from_arrays(
@@ -150,6 +151,7 @@ def quality_score(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        resident(None)
         for texts in batches:
             yield pa.array(by_chunk(run, texts))
 

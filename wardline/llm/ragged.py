@@ -34,10 +34,14 @@ class Pieces:
     """
 
     def __init__(self, texts: pa.Array, lead: bool = False):
-        lists = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        marked = lead and not pc.any(pc.match_substring(texts, "\0")).as_py()
+        if marked:  # a mark before each space keeps the space in its piece
+            texts = pc.replace_substring(texts, " ", "\0 ")
+        lists = pc.split_pattern(texts, "\0" if marked else " ")
         self.bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         flat = lists.flatten()
-        if lead:
+        if lead and not marked:
             first = np.zeros(len(flat), bool)
             first[self.bounds[:-1]] = True
             empty, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))

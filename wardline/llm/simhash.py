@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from wardline.llm.components import components
-from wardline.llm.tables import by_chunk, chunks, kept
+from wardline.llm.tables import by_chunk, chunks, kept, resident
 
 SHINGLE = 4
 SEED = 42
@@ -60,6 +60,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    resident(None)
     for batch in batches:
         for part in chunks(batch, "text"):
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(_bits(part["text"].to_pylist()))], ["doc_id", "fp"])

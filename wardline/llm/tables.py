@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -63,3 +66,24 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = 6 << 20) -> Iterator
 def by_chunk(run, texts: pa.Array, limit: int = 6 << 20) -> np.ndarray:
     """What ``run`` gives for slices of ``texts``, end to end."""
     return np.concatenate([run(texts.slice(a, b - a)) for a, b in _cuts(texts, limit)] or [np.empty(0)])
+
+
+_resident: dict[Any, Any] = {}
+
+
+def resident(key: Any, build: Callable[[], Any] = lambda: None) -> Any:
+    """``build()``, kept in this worker process for later tasks until one asks for something else.
+
+    Spark uses a worker for task after task, of one operator and of the next; so the tables of one do not stay beside
+    those of another. A task without tables calls ``resident(None)``.
+    """
+    if key not in _resident:
+        if _resident:
+            _resident.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+            if trim:
+                trim(0)
+        _resident[key] = build()
+    return _resident[key]

@@ -93,6 +93,43 @@ def test_byte_bpe(spark, sf_dir, documents):
     assert got.decoded_sha256.tolist() == [hashlib.sha256(t.encode()).hexdigest() for t in documents.text]
 
 
+def simple_secrets(text):
+    """kind, start and end of the contract's three patterns, found by plain scans of the whole text."""
+    import re
+    kinds = {"assign": r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+             "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
+    least = {"assign": 12, "access": 18, "hex": 16}
+    found = [(m.start(), list(kinds).index(k), k, m.end()) for k, p in kinds.items() for m in re.finditer(p, text)
+             if len(m[2] if k == "assign" else m[0]) >= least[k]]
+    return [(k, a, b) for a, _, k, b in sorted(found)]
+
+
+def check_secrets(got, texts):
+    for row, text in zip(got, texts, strict=True):
+        want = simple_secrets(text or "")
+        assert [row.n_assign, row.n_access, row.n_hex] == [sum(w[0] == k for w in want) for k in ("assign", "access", "hex")]
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert row.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and (set(joined.split(",")) - {""}) <= set(row.spans.split(","))
+
+
+def test_secrets(spark, sf_dir, documents):
+    got = QUERIES["op7_secrets"](spark, sf_dir).orderBy("doc_id").collect()
+    check_secrets(got, documents.text)
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in got) > 5
+
+
+def test_secrets_of_odd_texts(spark):
+    import random
+
+    from wardline.llm.secret_scan import scan_secrets
+    rng = random.Random(6)
+    parts = ["password", "PassWd", "secret", "TOKEN", "api_key", "apikey", "ApI_KeY", '"', "'", " ", "  ", ":", "=", ":=", "AKIA", "AKIAAKIA", "ABCDEF0123",
+             "0123456789abcdef", "deadbeef", "x", "é", "\n", "secret_token=", "abcdefghijkl", "A1b2C3d4E5f6", "K", "ſecret", "-", "."]
+    texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(4000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_secrets(scan_secrets(docs).orderBy("doc_id").collect(), texts)
+
+
 def simple_line_dedup(rows):
     """rows: (doc_id, text) by doc_id. Later occurrences of three lines go."""
     met, out = {}, []

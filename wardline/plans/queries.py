@@ -826,7 +826,7 @@ def isolation_scores(spark, sf_dir):
 @register("autoencoder_scores")
 def autoencoder_scores(spark, sf_dir):
     df, train = _ready(spark, sf_dir)
-    return df.select("event_id", "split", network_score(train_autoencoder(train, rounds=60)).alias("ae_raw"))
+    return df.select("event_id", "split", network_score(train_autoencoder(train, rounds=2000)).alias("ae_raw"))
 
 
 @register("linear_reconstruction_scores")

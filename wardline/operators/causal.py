@@ -52,6 +52,38 @@ def _angle() -> Column:
     return F.col("hour") * HOUR_TO_RADIANS
 
 
+def dept_sums() -> tuple[list[str], list[Agg]]:
+    """The running sums of a department: its established events and their hours on the circle."""
+    est = F.col("established")
+    return ["home_dept"], [
+        Agg("_k", "sum", est.cast("long")),
+        Agg("_sin", "sum", F.when(est, F.sin(_angle())).otherwise(0.0)),
+        Agg("_cos", "sum", F.when(est, F.cos(_angle())).otherwise(0.0)),
+    ]
+
+
+def user_sums() -> list[tuple[list[str], list[Agg]]]:
+    """The running aggregates of a user: depth, first and last event, hours, and what was seen before."""
+    one = F.lit(1)
+    return [
+        (["user_id"], [
+            Agg("_n", "count", one),
+            Agg("_first_us", "min", F.col("us")),
+            Agg("_last", "last", F.struct("us", "event_id", "geo_lat", "geo_lon")),
+            Agg("_sin", "sum", F.sin(_angle())),
+            Agg("_cos", "sum", F.cos(_angle())),
+        ]),
+        (["user_id", "device_id"], [Agg("_dev_n", "count", one)]),
+        (["user_id", "host"], [Agg("_host_n", "count", one)]),
+        (["user_id", "owner_dept"], [Agg("_dept_n", "count", one)]),
+    ]
+
+
+def touches() -> tuple[list[str], list[Agg]]:
+    """The previous event of the same user in the same owner department."""
+    return ["user_id", "owner_dept", "is_foreign_dept"], [Agg("_prev", "last", F.struct("us", "event_id"))]
+
+
 def add_dept_prior(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None = None) -> DataFrame:
     """Mean and deviation of the hours of the last ``dept_history`` established events of the home
     department before each event, as a difference of two running sums.
@@ -61,11 +93,7 @@ def add_dept_prior(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None = N
     """
     cap = cfg.dept_history
     est = F.col("established")
-    sums = (["home_dept"], [
-        Agg("_k", "sum", est.cast("long")),
-        Agg("_sin", "sum", F.when(est, F.sin(_angle())).otherwise(0.0)),
-        Agg("_cos", "sum", F.when(est, F.cos(_angle())).otherwise(0.0)),
-    ])
+    sums = dept_sums()
     if heavy is None:
         old = Window.partitionBy("home_dept").orderBy("_k").rangeBetween(
             Window.unboundedPreceding, -cap - 1)
@@ -73,18 +101,18 @@ def add_dept_prior(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None = N
             "_sin0": F.sum(F.when(est, F.sin(_angle())).otherwise(0.0)).over(old),
             "_cos0": F.sum(F.when(est, F.cos(_angle())).otherwise(0.0)).over(old),
         })
-        return _prior_from_sums(e, cfg)
+        return prior_from_sums(e, cfg)
     e = with_row_key(e)
     narrow = e.select(ROW, "event_id", "home_dept", "us", "hour", "established")
     narrow = with_slice(narrow, "home_dept", "us", heavy, cfg.broadcast_rows)
     narrow = cut(running(narrow, ORDER, sums).drop(SLICE))
     far = narrow.where(est).select("home_dept", (F.col("_k") + cap).alias("_k"),
                                    F.col("_sin").alias("_sin0"), F.col("_cos").alias("_cos0"))
-    priors = _prior_from_sums(same_keys(narrow, far, ["home_dept", "_k"], "left"), cfg)
+    priors = prior_from_sums(same_keys(narrow, far, ["home_dept", "_k"], "left"), cfg)
     return e.drop("established").join(priors.select(ROW, "prior_mean", "prior_std"), ROW)
 
 
-def _prior_from_sums(e: DataFrame, cfg: FeatureConfig) -> DataFrame:
+def prior_from_sums(e: DataFrame, cfg: FeatureConfig) -> DataFrame:
     n = F.least(F.col("_k"), F.lit(cfg.dept_history))
     s = F.col("_sin") - F.coalesce("_sin0", F.lit(0.0))
     c = F.col("_cos") - F.coalesce("_cos0", F.lit(0.0))
@@ -97,24 +125,29 @@ def _prior_from_sums(e: DataFrame, cfg: FeatureConfig) -> DataFrame:
 def add_fingerprint_mismatch(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None = None) -> DataFrame:
     """1 when the claimed fingerprint differs from the one seen most often before on this device
     (ties: the one seen first). The running mode is a running minimum of (-count, first seen, fp)."""
-    return per_key(e, "device_id", "us", heavy, _fingerprint_step, cfg.broadcast_rows)
+    return per_key(e, "device_id", "us", heavy, fingerprint_step, cfg.broadcast_rows)
 
 
-def _fingerprint_step(e: DataFrame) -> DataFrame:
+def prints_seen() -> tuple[list[str], list[Agg]]:
+    """How often, and since when, a fingerprint was claimed on a device."""
+    return ["device_id", "fp"], [Agg("_seen", "count", F.lit(1)), Agg("_first", "min", F.struct("us", "event_id"))]
+
+
+def fingerprint_step(e: DataFrame, carry=lambda rows, name: rows) -> DataFrame:
+    """``carry(rows, name)`` may add what was seen before the given rows to the aggregates ``name``."""
     here = F.struct("us", "event_id")
     if SLICE not in e.columns:
         e = e.repartition("device_id")  # one shuffle serves both windows
-    e = running(e, ORDER, (["device_id", "fp"], [
-        Agg("_seen", "count", F.lit(1)), Agg("_first", "min", here)]))
+    e = carry(running(e, ORDER, prints_seen()), "prints")
     rank = F.struct((-(F.col("_seen") + 1)).alias("n"), F.least(F.col("_first"), here).alias("first"),
                     F.col("fp").alias("fp"))
-    e = running(e, ORDER, (["device_id"], [Agg("_top", "min", F.when(F.col("fp").isNotNull(), rank))]))
+    e = carry(running(e, ORDER, (["device_id"], [Agg("_top", "min", F.when(F.col("fp").isNotNull(), rank))])), "tops")
     differs = F.col("fp").isNotNull() & F.col("_top").isNotNull() & (F.col("fp") != F.col("_top.fp"))
     return e.withColumn("fingerprint_mismatch", F.coalesce(differs, F.lit(False)).cast("int")).drop(
         "_seen", "_first", "_top")
 
 
-def _add_bursts(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None) -> DataFrame:
+def add_bursts(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None) -> DataFrame:
     """Events of three kinds inside a look-back window, counted as 'started before this row' minus
     'already expired'. Both are running sums, so the cost per row does not grow with the window.
 
@@ -203,21 +236,7 @@ def history_columns(sin_sum: Column, cos_sum: Column, cfg: FeatureConfig) -> dic
 
 def _user_step(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None) -> DataFrame:
     cap = cfg.hour_history
-    one = F.lit(1)
-    e = running(
-        e, ORDER,
-        (["user_id"], [
-            Agg("_n", "count", one),
-            Agg("_first_us", "min", F.col("us")),
-            Agg("_last", "last", F.struct("us", "event_id", "geo_lat", "geo_lon")),
-            Agg("_sin", "sum", F.sin(_angle())),
-            Agg("_cos", "sum", F.cos(_angle())),
-        ]),
-        (["user_id", "device_id"], [Agg("_dev_n", "count", one)]),
-        (["user_id", "host"], [Agg("_host_n", "count", one)]),
-        (["user_id", "owner_dept"], [Agg("_dept_n", "count", one)]),
-        (["user_id", "owner_dept", "is_foreign_dept"], [Agg("_prev", "last", F.struct("us", "event_id"))]),
-    )
+    e = running(e, ORDER, *user_sums(), touches())
     if SLICE not in e.columns:
         pairs = Window.partitionBy("user_id", "owner_dept", "is_foreign_dept").orderBy(*ORDER)
         win = Window.partitionBy("user_id").orderBy(*ORDER)
@@ -234,4 +253,4 @@ def _user_step(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None) -> Dat
     e = e.withColumns(history_columns(s, c, cfg)).drop(
         "_n", "_first_us", "_last", "_sin", "_cos", "_sin0", "_cos0", "_dev_n", "_host_n", "_dept_n",
         "prior_mean", "prior_std", "hour", "geo_lat", "geo_lon", "home_dept", "fp")
-    return _add_bursts(e, cfg, heavy)
+    return add_bursts(e, cfg, heavy)

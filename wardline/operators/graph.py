@@ -97,24 +97,29 @@ def first_visits(events: DataFrame) -> DataFrame:
             .select("user_id", "host", "_o.us", "_o.event_id"))
 
 
-def nearest_visited(visits: DataFrame, edges: DataFrame, cfg: FeatureConfig) -> DataFrame:
+def nearest_visited(visits: DataFrame, edges: DataFrame, cfg: FeatureConfig, since: int | None = None) -> DataFrame:
     """(event_id, user_id, host, graph_dist_from_history) of every first visit that is not the user's first event.
 
     Distance to the nearest host the user visited earlier. Rings of hosts around the newly visited
     hosts are matched with the user's visits by equality, so no pairs of a user's hosts are formed,
     and a visit drops out at its first match. Hosts outside the graph, or without any earlier visit
-    in reach, get ``unreachable``.
+    in reach, get ``unreachable``. ``since``: only visits from this time on are answered; the earlier ones
+    are hosts to be reached.
     """
     visits = cut(visits.withColumn("_visit", F.monotonically_increasing_id()))  # event ids may repeat or be null
     links, n_hosts, small_links = _links(edges, cfg.broadcast_rows)
     starts = visits.groupBy("user_id").agg(F.min(F.struct("us", "event_id", "_visit")).alias("_o"))
     pending = visits.join(starts.select("_o._visit"), "_visit", "left_anti")
+    asked = visits
+    if since is not None:
+        pending = pending.where(F.col("us") >= since)
+        asked = visits.where(F.col("us") >= since)
     earlier = visits.select("user_id", F.col("host").alias("dst"), F.col("us").alias("_us"),
                             F.col("event_id").alias("_id"))
     hosts = pending.select("host").distinct()
     if n_hosts <= SMALL_GRAPH_HOSTS:
         table = _distances(hosts, links, n_hosts, small_links)
-        if visits.count() * n_hosts <= ONE_ROUND_PAIRS:
+        if asked.count() * n_hosts <= ONE_ROUND_PAIRS:
             rings = iter([table.where("d > 0")])
         else:
             rings = _tabulated_rings(cut(table))

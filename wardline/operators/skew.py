@@ -105,7 +105,7 @@ def per_key(df: DataFrame, key: str, us: str, heavy: DataFrame | None, step,
     return step(light).unionByName(step(sliced).drop(SLICE))
 
 
-def _fold(agg: Agg) -> Column:
+def fold(agg: Agg) -> Column:
     if agg.kind == "sum":
         return F.sum(agg.expr)
     if agg.kind == "count":
@@ -115,7 +115,7 @@ def _fold(agg: Agg) -> Column:
     return F.max(agg.expr)
 
 
-def _merge(agg: Agg, local: Column, before: Column) -> Column:
+def merge(agg: Agg, local: Column, before: Column) -> Column:
     if agg.kind in ("sum", "count"):
         zero = F.lit(0)
         return F.coalesce(before, zero) + F.coalesce(local, zero)
@@ -146,18 +146,18 @@ def running(df: DataFrame, order: list[str], *groups: tuple[list[str], list[Agg]
     for keys, aggs in groups:
         out = out.withColumns({a.name: _local(a, keys + [SLICE], order) for a in aggs})
     for keys, aggs in groups:
-        totals = df.groupBy(*keys, SLICE).agg(*[_fold(a).alias(f"_t_{a.name}") for a in aggs])
+        totals = df.groupBy(*keys, SLICE).agg(*[fold(a).alias(f"_t_{a.name}") for a in aggs])
         earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
         carried = totals.select(
             *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(SLICE).alias("_k_slice"),
             F.count(F.lit(1)).over(earlier).alias("_rank"),
-            *[_fold(Agg(a.name, "sum" if a.kind == "count" else a.kind, F.col(f"_t_{a.name}")))
+            *[fold(Agg(a.name, "sum" if a.kind == "count" else a.kind, F.col(f"_t_{a.name}")))
               .over(earlier).alias(f"_c_{a.name}") for a in aggs]).where("_rank > 0").drop("_rank")
         same = F.col(SLICE) == F.col("_k_slice")
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
         out = out.join(carried, same, "left")
-        out = out.withColumns({a.name: _merge(a, F.col(a.name), F.col(f"_c_{a.name}")) for a in aggs})
+        out = out.withColumns({a.name: merge(a, F.col(a.name), F.col(f"_c_{a.name}")) for a in aggs})
         out = out.drop("_k_slice", *[f"_k_{k}" for k in keys], *[f"_c_{a.name}" for a in aggs])
     return out
 
@@ -166,7 +166,7 @@ def _local(agg: Agg, keys: list[str], order: list[str]) -> Column:
     win = Window.partitionBy(*keys).orderBy(*order)
     if agg.kind == "last":
         return F.lag(agg.expr, 1).over(win)
-    return _fold(agg).over(win.rowsBetween(Window.unboundedPreceding, -1))
+    return fold(agg).over(win.rowsBetween(Window.unboundedPreceding, -1))
 
 
 def order_bins(df: DataFrame, column: str, cuts: int = 64, subs: int = 16) -> DataFrame:

@@ -12,6 +12,7 @@ from wardline.operators.drift import drift_scan
 from wardline.plans.results import TEST_CONFIG, entities_of, features_of, results_of
 from wardline.session import checkpoint_dir
 from wardline.sources.events import access_events
+from wardline.sources.versions import publish, versions
 from wardline.streaming import stateful, stateless
 
 
@@ -87,3 +88,31 @@ def test_online_alerts(spark, sf_dir, folder):
         _stream(spark, res.drop(*made), folder, "scored")), folder, "feed")
     columns = ["event_id", "unified_risk_score", "predicted_attack_type"]
     assert _rows(online.where("event_id >= 0"), columns) == _rows(res.where("unified_risk_score >= 50"), columns)
+
+
+def test_retraining_once_a_spell(spark, folder):
+    """Two spells of alerts, 8 days long from their first: one training each, also when a run fails in between,
+    starts again, or sees its alerts a second time."""
+    place, start, calls = f"{folder}/retrain", dt.datetime(2024, 3, 1), []
+    ends = [start + dt.timedelta(days=d) for d in (0, 1, 7, 8, 9, 30)]
+    rows = spark.createDataFrame([(e - dt.timedelta(days=8), e, 3, .3) for e in ends],
+                                 "start timestamp, end timestamp, n_drifted_in_window long, fraction double")
+    rows.coalesce(1).write.parquet(f"{place}/in")
+
+    def train(alert, version):
+        calls.append((version, alert.count()))
+        if len(calls) == 2:
+            raise RuntimeError("lost in training")
+        publish(spark, place, version)
+
+    def run(progress):
+        source = spark.readStream.schema(rows.schema).parquet(f"{place}/in")
+        stateless.retrain_on_alerts(source, place, f"{place}/{progress}", train).awaitTermination(300)
+
+    with pytest.raises(Exception, match="lost in training"):
+        run("progress")
+    run("progress")
+    assert calls == [("drift-20240301", 1), ("drift-20240309", 1), ("drift-20240309", 1), ("drift-20240331", 1)]
+    assert versions(spark, place) == ["drift-20240301", "drift-20240309", "drift-20240331"]
+    run("another progress")
+    assert len(calls) == 4

@@ -861,11 +861,15 @@ def _boosted(spark, sf_dir):
     if key not in _models:
         model = fit_classifier(df)
         plain = df.drop("probs", "pred_label", "confidence", "attack_prob", "raw_label", "raw_confidence")
-        _models[key] = model.boosted, cut(predict(plain, model).select(
+        _models[key] = model, cut(predict(plain, model).select(
             "event_id", "clf_split", "target", "pred_label", "confidence", "attack_prob", *FEATURES))
     return _models[key]
 
 
+def trained_classifier(spark, sf_dir):
+    return _boosted(spark, sf_dir)[0]
+
+
 @register("boosted_predictions")
 def boosted_predictions(spark, sf_dir):
     return _boosted(spark, sf_dir)[1].drop(*FEATURES)
@@ -883,7 +887,7 @@ def forest_predictions(spark, sf_dir):
 @register("alert_attributions")
 def alert_attributions(spark, sf_dir):
     model, scored = _boosted(spark, sf_dir)
-    return attributions(scored.where("pred_label <> 'normal'"), model)
+    return attributions(scored.where("pred_label <> 'normal'"), model.boosted)
 
 
 @register("alert_explanations")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wardline.config import DriftConfig
 from wardline.operators.alerts import FEED_COLUMNS
 from wardline.operators.scoring import gate_classes, merge_scores
+from wardline.sources.versions import versions
 
 
 def population_alert_windows(first_fires: DataFrame, n_entities: int, delay: str = "1 day",
@@ -40,3 +44,25 @@ def run_available(df: DataFrame, folder: str, name: str) -> StreamingQuery:
     return (df.writeStream.format("parquet").outputMode("append")
             .option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}_progress")
             .trigger(availableNow=True).start())
+
+
+def retrain_on_alerts(alerts: DataFrame, folder: str, progress: str, train: Callable[[DataFrame, str], object],
+                      cfg: DriftConfig = DriftConfig()) -> StreamingQuery:
+    """Calls ``train(alert, version)`` once for the first alert of every spell of drift; ``train`` publishes the version.
+
+    A spell lasts a window's length from its first alert; the alerts of the days that follow belong to it. What has
+    been trained is told by the published versions, so a batch that is run again after a failure trains only what
+    was not published.
+    """
+    spell = dt.timedelta(days=cfg.window_days + 1)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        days = [r["end"] for r in batch.select("end").distinct().orderBy("end").collect()]  # one row a day
+        for day in days:
+            begun = [dt.datetime.strptime(v, "drift-%Y%m%d") for v in versions(spark, folder) if v.startswith("drift-")]
+            if not any(b <= day < b + spell for b in begun):
+                train(batch.where(F.col("end") == F.lit(day)), f"drift-{day:%Y%m%d}")
+
+    return (alerts.writeStream.foreachBatch(handle).option("checkpointLocation", progress)
+            .trigger(availableNow=True).start())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardline.config import FEATURES, HISTORY_COLUMNS, FeatureConfig
 from wardline.functions.fingerprint import claimed_fingerprint
 from wardline.functions.scalars import circular_distance, circular_mean, circular_std, haversine_km, round_to
+from wardline.operators.causal import travel_over_unflagged
 from wardline.operators.skew import heavy_keys
 from wardline.plans.features import feature_table
 from wardline.plans.queries import ORACLES
@@ -66,6 +67,24 @@ def test_heavy_path_keeps_every_row(spark, sf_dir, case):
     assert len(got[0]) == events.count() and got[0] == got[1]
 
 
+def test_travel_skips_flagged_events(spark, sf_dir):
+    """Against a walk over each user's events: a third of them flagged, null flags, ties, a clashing column; also in slices."""
+    events = access_events(spark, sf_dir).where("event_id < 300").withColumns({
+        "ts": F.date_trunc("day", "ts"), "us": F.lit("of the caller"), "_last": F.lit(0),
+        "flag": F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 3 == 0)})
+    want, last = {}, {}
+    for r in sorted(events.collect(), key=lambda r: (r["ts"], r["event_id"])):
+        before = last.get(r["user_id"])
+        want[r["event_id"]] = None if before is None else round((r["ts"] - before["ts"]).total_seconds() / 60, 2), \
+            before is not None and (before["geo_lat"], before["geo_lon"]) != (r["geo_lat"], r["geo_lon"])
+        if not r["flag"]:
+            last[r["user_id"]] = r
+    for most in (5_000_000, 10):
+        got = travel_over_unflagged(events, F.col("flag"), replace(TEST_CONFIG, max_rows_per_task=most))
+        assert got.columns == [*events.columns, "geo_distance_km", "geo_velocity_kmh", "time_since_last_event_min"]
+        assert {r["event_id"]: (r["time_since_last_event_min"], r["geo_distance_km"] > 0) for r in got.collect()} == want
+
+
 def test_future_rows_change_nothing(spark, sf_dir):
     events = access_events(spark, sf_dir)
     ent = entities_of(spark, sf_dir)

@@ -91,7 +91,7 @@ def test_online_alerts(spark, sf_dir, folder):
 
 
 def test_retraining_once_a_spell(spark, folder):
-    """Two spells of alerts, 8 days long from their first: one training each, also when a run fails in between,
+    """Spells of alerts are 8 days long from their first: one training each, also when a run fails in between,
     starts again, or sees its alerts a second time."""
     place, start, calls = f"{folder}/retrain", dt.datetime(2024, 3, 1), []
     ends = [start + dt.timedelta(days=d) for d in (0, 1, 7, 8, 9, 30)]

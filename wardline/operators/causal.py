@@ -18,7 +18,9 @@ from wardline.functions.scalars import (
     HOUR_TO_RADIANS, circular_distance, circular_mean, circular_std, fractional_hour,
     haversine_km, micros, round_to,
 )
-from wardline.operators.skew import ROW, SLICE, Agg, lookup, per_key, running, same_keys, union_all, with_row_key, with_slice
+from wardline.operators.skew import (
+    ROW, SLICE, Agg, heavy_keys, lookup, per_key, running, same_keys, union_all, with_row_key, with_slice,
+)
 from wardline.session import cut
 
 SHARED = "shared"
@@ -206,6 +208,37 @@ def add_user_history(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None =
     return per_key(e, "user_id", "us", heavy, lambda rows: _user_step(rows, cfg, heavy), cfg.broadcast_rows)
 
 
+def travel_columns() -> dict[str, Column]:
+    """Distance, speed and time since the ``_last`` event; without one 0, 0 and null."""
+    elapsed_s = (F.col("us") - F.col("_last.us")) / 1_000_000.0
+    km = haversine_km(F.col("_last.geo_lat"), F.col("_last.geo_lon"), F.col("geo_lat"), F.col("geo_lon"))
+    return {
+        "geo_distance_km": F.coalesce(round_to(km, 2), F.lit(0.0)),
+        "geo_velocity_kmh": F.coalesce(
+            round_to(km / F.greatest(elapsed_s / 3600, F.lit(1 / 60)), 2), F.lit(0.0)),
+        "time_since_last_event_min": round_to(elapsed_s / 60, 2),
+    }
+
+
+def travel_over_unflagged(events: DataFrame, flagged: Column, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """Travel from the user's last event before that was not flagged, so that the event after an attack does not
+    inherit the attacker's place. A null flag is no flag.
+
+    The last unflagged event is the greatest (time, event_id) among those before: a running maximum, which the slices
+    of a heavy user hand on like their other totals. Columns of the events beyond those used are kept, but for the
+    three results, which replace columns of those names.
+    """
+    flag = F.coalesce(flagged.cast("boolean"), F.lit(False))
+    names = [c for c in events.columns if c not in travel_columns()]
+    rows = events.withColumn("_flag", flag).select(
+        F.struct(*names).alias("_event"), "user_id", "event_id", "geo_lat", "geo_lon", "_flag", F.unix_micros("ts").alias("us"))
+    last = F.when(~F.col("_flag"), F.struct("us", "event_id", "geo_lat", "geo_lon"))
+    heavy = heavy_keys(rows, "user_id", "us", cfg.max_rows_per_task)
+    rows = per_key(rows, "user_id", "us", heavy, lambda part: running(part, ORDER, (["user_id"], [Agg("_last", "max", last)])),
+                   cfg.broadcast_rows)
+    return rows.select("_event.*", *[c.alias(n) for n, c in travel_columns().items()])
+
+
 def history_columns(sin_sum: Column, cos_sum: Column, cfg: FeatureConfig) -> dict[str, Column]:
     """Features of rows that carry the depth ``_n``, ``_first_us``, the ``_last`` event, how often device, host and
     department were seen (``_dev_n``, ``_host_n``, ``_dept_n``), and the given sums over the recent hours."""
@@ -214,14 +247,9 @@ def history_columns(sin_sum: Column, cos_sum: Column, cfg: FeatureConfig) -> dic
     own_mean, own_std = circular_mean(n, sin_sum, cos_sum), circular_std(n, sin_sum, cos_sum)
     mean = F.coalesce(weight * own_mean + (1 - weight) * F.col("prior_mean"), "prior_mean")
     std = F.coalesce(weight * own_std + (1 - weight) * F.col("prior_std"), "prior_std")
-    elapsed_s = (F.col("us") - F.col("_last.us")) / 1_000_000.0
-    km = haversine_km(F.col("_last.geo_lat"), F.col("_last.geo_lon"), F.col("geo_lat"), F.col("geo_lon"))
     return {
         "hour_zscore": round_to(circular_distance(F.col("hour"), mean) / F.greatest(std, F.lit(0.5)), 3),
-        "geo_distance_km": F.coalesce(round_to(km, 2), F.lit(0.0)),
-        "geo_velocity_kmh": F.coalesce(
-            round_to(km / F.greatest(elapsed_s / 3600, F.lit(1 / 60)), 2), F.lit(0.0)),
-        "time_since_last_event_min": round_to(elapsed_s / 60, 2),
+        **travel_columns(),
         "is_new_device": (F.col("_dev_n") == 0).cast("int"),
         "is_new_host": (F.col("_host_n") == 0).cast("int"),
         "is_first_time_in_this_dept":

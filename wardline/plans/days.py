@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from wardline.operators.causal import travel_over_unflagged as travel
 from wardline.operators.increment import advance
 from wardline.operators.skew import union_all
 from wardline.plans import oracles as o
 from wardline.plans.queries import register
-from wardline.plans.results import TEST_CONFIG, entities_of, kept
+from wardline.plans.results import TEST_CONFIG, entities_of, kept, results_of
 from wardline.session import checkpoint_dir
 from wardline.sources.events import access_events
 
@@ -35,3 +36,22 @@ def daily_features(spark, sf_dir):
             before, start = f"{folder}/{i}", end
         return union_all(parts)
     return kept(spark, "daily features", sf_dir, build)
+
+
+_LAST = ", ".join(f"last_value(CASE WHEN NOT flagged THEN {c} END IGNORE NULLS) OVER w AS p_{c}" for c in ("us", "geo_lat", "geo_lon"))
+_KM, _SECONDS = o.haversine("p_geo_lat", "p_geo_lon", "geo_lat", "geo_lon"), "(us - p_us) / 1000000.0::DOUBLE"
+
+
+@register("travel_over_unflagged", o.sql(o.results() | {
+    "marked": "SELECT a.*, r.predicted_attack_type IS NOT NULL AS flagged FROM access a JOIN results r USING (event_id)",
+    "before": f"""SELECT *, {_LAST} FROM marked
+        WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""},
+    f"""SELECT event_id, user_id, flagged, coalesce({o.r(_KM, 2)}, 0.0) AS geo_distance_km,
+        coalesce({o.r(f"{_KM} / greatest({_SECONDS} / 3600, 1.0::DOUBLE / 60)", 2)}, 0.0) AS geo_velocity_kmh,
+        {o.r(f"{_SECONDS} / 60", 2)} AS time_since_last_event_min FROM before"""))
+def travel_over_unflagged(spark, sf_dir):
+    """Travel from the last event that the gate let pass."""
+    flags = results_of(spark, sf_dir).select("event_id", F.col("predicted_attack_type").isNotNull().alias("flagged"))
+    events = access_events(spark, sf_dir).select("event_id", "user_id", "ts", "geo_lat", "geo_lon").join(flags, "event_id")
+    return travel(events, F.col("flagged"), TEST_CONFIG).select(
+        "event_id", "user_id", "flagged", "geo_distance_km", "geo_velocity_kmh", "time_since_last_event_min")

@@ -253,6 +253,54 @@ def results(rule: str = "mean") -> dict[str, str]:
     }
 
 
+def chance(*parts: str) -> str:
+    """A number in [0, 1) from 52 bits of the MD5 of the parts joined by colons."""
+    return f"(CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13) AS BIGINT) / {2.0 ** 52}::DOUBLE)"
+
+
+def isolation(n_trees: int = 300, sample: int = 256, seed: int = 42) -> dict[str, str]:
+    """The forest grown again from the feature table, one level of all trees a step, and ``iso_walk``: a path length per event and tree."""
+    depth = (sample - 1).bit_length()
+    n = len(FEATURES)
+    wanted = f"(1.5::DOUBLE * {n_trees * sample} / greatest(n, 1))"
+    fills = ", ".join(f"(SELECT quantile_cont({f}, 0.5) FROM tagged WHERE split = 'train_normal') AS m{i}" for i, f in enumerate(FEATURES))
+    values = ", ".join(f"coalesce({f}, m{i})::DOUBLE" for i, f in enumerate(FEATURES))
+    spans = ", ".join(f"{agg}(xs[{i}]) AS {agg}{i}" for i in range(1, n + 1) for agg in ("min", "max"))
+    lows, highs = (", ".join(f"{agg}{i}" for i in range(1, n + 1)) for agg in ("min", "max"))
+    out = {
+        "fills": f"SELECT {fills}",
+        "vectors": f"SELECT event_id, split, [{values}] AS xs FROM tagged CROSS JOIN fills",
+        "iso_size": "SELECT count(*) AS n FROM vectors WHERE split = 'train_normal'",
+        "dealt": f"""SELECT DISTINCT event_id, xs, CASE WHEN {wanted} >= {n_trees} THEN copy - 1
+              ELSE CAST(floor({chance(str(seed), "'tree'", 'event_id', 'copy')} * {n_trees}) AS INT) END AS tree
+            FROM (SELECT *, unnest(range(1, CAST(CASE WHEN {wanted} >= {n_trees} THEN {n_trees} ELSE ceil({wanted}) END AS INT) + 1)) AS copy
+                  FROM vectors CROSS JOIN iso_size WHERE split = 'train_normal'
+                    AND ({wanted} >= 1 OR {chance(str(seed), "'row'", 'event_id')} < {wanted}))""",
+        "rows0": f"""SELECT tree, 1 AS place, event_id, xs FROM dealt QUALIFY row_number() OVER
+            (PARTITION BY tree ORDER BY md5(concat_ws(':', {seed}, 'order', tree, event_id)), event_id) <= {sample}""",
+        "tree_size": "SELECT tree, count(*) AS size FROM rows0 GROUP BY 1",
+    }
+    for d in range(depth + 1):
+        out[f"spans{d}"] = f"SELECT tree, place, count(*) AS c, {spans} FROM rows{d} GROUP BY 1, 2"
+        out[f"usable{d}"] = f"""SELECT tree, place, c, lows, highs, CASE WHEN 2 ** {d} < size AND c > 1
+              THEN list_filter(range(1, {n + 1}), lambda i: highs[i] > lows[i]) ELSE [] END AS usable
+            FROM (SELECT tree, place, c, [{lows}] AS lows, [{highs}] AS highs FROM spans{d}) JOIN tree_size USING (tree)"""
+        out[f"picked{d}"] = f"""SELECT *, CASE WHEN len(usable) > 0 THEN
+              usable[1 + CAST(floor({chance(str(seed), "'feature'", 'tree', 'place')} * len(usable)) AS INT)] END AS f FROM usable{d}"""
+        out[f"nodes{d}"] = f"""SELECT tree, place, f, CASE WHEN t <= lows[f] THEN highs[f] ELSE t END AS t,
+              {d} + CASE WHEN c <= 1 THEN 0 WHEN c = 2 THEN 1
+                    ELSE 2 * (ln(c - 1) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * (c - 1) / c END AS len
+            FROM (SELECT *, lows[f] + {chance(str(seed), "'threshold'", 'tree', 'place')} * (highs[f] - lows[f]) AS t FROM picked{d})"""
+        if d < depth:
+            out[f"rows{d + 1}"] = f"""SELECT r.tree, 2 * r.place + CAST(r.xs[k.f] >= k.t AS INT) AS place, r.event_id, r.xs
+                FROM rows{d} r JOIN nodes{d} k ON k.tree = r.tree AND k.place = r.place AND k.f IS NOT NULL"""
+    steps = " ".join(f"LEFT JOIN nodes{d} k{d} ON k{d}.tree = k0.tree AND k{d}.place = 2 * k{d - 1}.place + "
+                     f"CAST(v.xs[k{d - 1}.f] >= k{d - 1}.t AS INT)" for d in range(1, depth + 1))
+    reached = ", ".join(f"k{d}.len" for d in range(depth, -1, -1))
+    return out | {"iso_walk": f"SELECT v.event_id, v.split, sum(coalesce({reached})) AS total, count(*) AS trees "
+                              f"FROM vectors v CROSS JOIN nodes0 k0 {steps} GROUP BY 1, 2"}
+
+
 def sql(ctes: dict[str, str], query: str) -> str:
     head = "RECURSIVE " if any("(" in name for name in ctes) else ""
     # Materialised: the chains are long and their parts are used several times.

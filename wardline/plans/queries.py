@@ -13,7 +13,7 @@ from wardline.functions.wording import fallback_strength, full_sentence
 from wardline.models.attribution import attributions
 from wardline.models.autoencoder import linear_score, network_score, train_autoencoder
 from wardline.models.boosted import random_forest_scores
-from wardline.models.forest import forest_score, train_forest
+from wardline.models.forest import expected_depth, forest_score, train_forest
 from wardline.operators import alerts, drift, evaluate, graph, scoring, splits
 from wardline.operators.balance import class_weights, fill_medians, standardise, with_fill
 from wardline.operators.causal import enrich
@@ -808,7 +808,7 @@ def drift_scan_depth(spark, sf_dir):
                             DriftConfig(feature="entity_history_days"))
 
 
-# ---- trained models (rows only: training has no SQL counterpart) --------------------------------
+# ---- trained models (the forest is grown again in SQL; the others give rows only) --------------------------------
 
 def _ready(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Filled features, and the training normals among them."""
@@ -817,10 +817,12 @@ def _ready(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return df, df.where("split = 'train_normal'")
 
 
-@register("isolation_scores")
+@register("isolation_scores", _on(o.scored() | o.isolation(), f"""SELECT event_id, split,
+    {o.r(f"pow(2.0::DOUBLE, -total / trees / {expected_depth(256)!r}::DOUBLE)", 6)} AS iso_raw FROM iso_walk"""))
 def isolation_scores(spark, sf_dir):
+    """Scores of the trained forest; SQL grows the same 300 trees from the feature table."""
     df, train = _ready(spark, sf_dir)
-    return df.select("event_id", "split", forest_score(cut(train_forest(train))).alias("iso_raw"))
+    return df.select("event_id", "split", scalars.round_to(forest_score(cut(train_forest(train))), 6).alias("iso_raw"))
 
 
 @register("autoencoder_scores")

@@ -6,12 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from wardline.functions.scalars import round_to
 from wardline.operators.causal import travel_over_unflagged as travel
 from wardline.operators.increment import advance
+from wardline.operators import sketches
+from wardline.operators.ranks import quantiles
 from wardline.operators.skew import union_all
 from wardline.plans import oracles as o
 from wardline.plans.queries import register
-from wardline.plans.results import TEST_CONFIG, entities_of, kept, results_of
+from wardline.plans.results import TEST_CONFIG, entities_of, kept, results_of, scored_of
 from wardline.session import checkpoint_dir
 from wardline.sources.events import access_events
 
@@ -55,3 +58,51 @@ def travel_over_unflagged(spark, sf_dir):
     events = access_events(spark, sf_dir).select("event_id", "user_id", "ts", "geo_lat", "geo_lon").join(flags, "event_id")
     return travel(events, F.col("flagged"), TEST_CONFIG).select(
         "event_id", "user_id", "flagged", "geo_distance_km", "geo_velocity_kmh", "time_since_last_event_min")
+
+
+WINDOW = 7
+
+
+def _references(spark, sf_dir):
+    """Windows of stored sketches: the log comes in batches, each of which writes the sketches of its own days."""
+    def build():
+        rows = scored_of(spark, sf_dir).where(sketches.established_normals())
+        folder = f"{checkpoint_dir(spark)}/sketches-{uuid.uuid4().hex}"
+        day, bounds = F.dayofmonth("ts"), [0, *PARTS, 99]
+        for low, high in zip(bounds, bounds[1:]):
+            sketches.add_batch(rows.where((day >= low) & (day < high)), folder, f"from-{low}")
+        return sketches.window_references(sketches.stored_sketches(spark, folder), WINDOW)
+    return kept(spark, "window references", sf_dir, build)
+
+
+@register("window_references", o.sql(o.scored() | {
+    "normals": """SELECT CAST(ts AS DATE) AS day, dept, ensemble_score_raw AS x FROM scored
+        WHERE label = 'normal' AND is_cold_start_entity = 0""",
+    "everyone": "SELECT * FROM normals UNION ALL SELECT day, '__global__', x FROM normals",
+    "ends": "SELECT day, dept FROM (SELECT unnest(range(min(day), max(day) + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day FROM normals), "
+            "(SELECT DISTINCT dept FROM everyone)"},
+    f"""SELECT CAST(e.day AS VARCHAR) AS day, e.dept, count(*) AS n, {o.r('quantile_cont(x, 0.5)', 6)} AS exact_median, true AS within_bound
+        FROM ends e JOIN everyone b ON b.dept = e.dept AND b.day BETWEEN e.day - {WINDOW - 1} AND e.day GROUP BY ALL"""))
+def window_references(spark, sf_dir):
+    """Counts of the merged sketches, the exact median of the same window, and whether the sketch's median has a rank within
+    the stated bound of one half."""
+    counts = (scored_of(spark, sf_dir).where(sketches.established_normals())
+              .groupBy(F.to_date("ts").alias("day"), "dept", F.col("ensemble_score_raw").alias("x")).agg(F.count(F.lit(1)).alias("c")))
+    seen = sketches.seen_on(sketches.with_global(counts), WINDOW).groupBy("day", "dept", "x").agg(F.sum("c").alias("c"))
+    exact = quantiles(seen, "x", {"exact_median": 0.5}, ["day", "dept"], weight="c")
+    held = _references(spark, sf_dir).select("day", "dept", "n", "ref_score")
+    below = (seen.join(held, ["day", "dept"]).groupBy("day", "dept", "n").agg(
+        F.sum(F.when(F.col("x") < F.col("ref_score"), F.col("c")).otherwise(0)).alias("less"),
+        F.sum(F.when(F.col("x") <= F.col("ref_score"), F.col("c")).otherwise(0)).alias("upto")))
+    slack = F.lit(sketches.rank_error()) * F.col("n") + 1  # a rank is known to one row
+    middle = F.col("n") / 2.0
+    return below.join(exact, ["day", "dept"]).select(
+        F.col("day").cast("string").alias("day"), "dept", "n", round_to(F.col("exact_median"), 6).alias("exact_median"),
+        ((F.col("less") - slack <= middle) & (middle <= F.col("upto") + slack)).alias("within_bound"))
+
+
+@register("final_risk_as_of")
+def final_risk_as_of(spark, sf_dir):
+    """Risk with the references known at a row's time: the window of the days before it, from stored sketches."""
+    rows = scored_of(spark, sf_dir).drop("final_risk_score")
+    return sketches.blend_as_of(rows, _references(spark, sf_dir)).select("event_id", "dept", "final_risk_score")

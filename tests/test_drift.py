@@ -1,6 +1,9 @@
+import math
 import random
+import statistics
 from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
 from wardline.config import DriftConfig
@@ -42,6 +45,84 @@ def test_detector():
     assert shifted.n == sum(len(level) * 2 ** i for i, level in enumerate(shifted.levels))
 
 
+class ListDetector:
+    """The detector on a plain list of the values in its window; only the sizes of the buckets are counted."""
+
+    def __init__(self, delta):
+        self.delta, self.values, self.counts, self.seen = delta, [], [0], 0
+
+    def cut_found(self):
+        n = len(self.values)
+        if n <= 10:
+            return False
+        log_term = math.log(2 * math.log(n) / self.delta)
+        variance = statistics.pvariance(self.values)
+        end = 0
+        for level in reversed(range(len(self.counts))):
+            for _ in range(self.counts[level]):
+                end += 2 ** level
+                old, new = self.values[:end], self.values[end:]
+                if len(new) < 5:
+                    return False
+                if len(old) >= 5:
+                    m = 1 / (len(old) - 4) + 1 / (len(new) - 4)
+                    bound = math.sqrt(2 * m * variance * log_term) + 2 / 3 * log_term * m
+                    if abs(statistics.fmean(old) - statistics.fmean(new)) > bound:
+                        return True
+        return False
+
+    def update(self, x):
+        self.seen += 1
+        self.values.append(x)
+        self.counts[0] += 1
+        level = 0
+        while self.counts[level] > 5:
+            self.counts[level] -= 2
+            self.counts += [0] * (level + 2 - len(self.counts))
+            level += 1
+            self.counts[level] += 1
+        fired = False
+        while self.seen % 32 == 0 and self.cut_found():
+            fired = True
+            del self.values[:2 ** (len(self.counts) - 1)]
+            self.counts[-1] -= 1
+            while len(self.counts) > 1 and not self.counts[-1]:
+                self.counts.pop()
+        return fired
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_statistics_equal_those_of_the_values(seed):
+    rng = random.Random(seed)
+    plain, kept, fires = ListDetector(0.05), Adwin(0.05), 0
+    for i in range(900):
+        x = rng.gauss((i // 150) % 3 * (seed % 3), 1) if seed < 5 else float(i // 300)
+        fired = plain.update(x)
+        assert kept.update(x) == fired
+        fires += fired
+        assert kept.n == len(plain.values) and [len(b) for b in kept.levels] == plain.counts
+        assert abs(kept.total - math.fsum(plain.values)) < 1e-8
+        assert abs(kept.spread / kept.n - statistics.pvariance(plain.values)) < 1e-8
+    assert fires > 0 or seed % 3 == 0
+
+
+def test_scan_of_every_user_equals_the_plain_detector(spark):
+    folder = "/root/testdata/sf0.01"
+    features, users = features_of(spark, folder), entities_of(spark, folder).users
+    rows = (drift.with_day(features).where("label = 'normal'").join(drift.active_users(users), "user_id", "left_semi")
+            .select("user_id", "us", "event_id", "day", "entity_history_days", "hour_zscore").toPandas()
+            .sort_values(["user_id", "us", "event_id"]))
+    for feature in ("entity_history_days", "hour_zscore"):
+        cfg = DriftConfig(feature=feature)
+        want = []
+        for user, part in rows[rows[feature].notna()].groupby("user_id"):
+            plain = ListDetector(cfg.delta)
+            want += [(user, day) for day, x in zip(part["day"], part[feature]) if plain.update(float(x))]
+        got = sorted(tuple(r) for r in drift.drift_scan(features, users, cfg).collect())
+        assert got == sorted(want)
+        assert bool(got) == (feature == "entity_history_days")
+
+
 def test_slices_equal_one_pass(spark, sf_dir):
     cfg = DriftConfig(feature="entity_history_days")
     users = entities_of(spark, sf_dir).users

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 from dataclasses import replace
 
 import duckdb
@@ -67,6 +68,17 @@ def test_heavy_path_keeps_every_row(spark, sf_dir, case):
     assert len(got[0]) == events.count() and got[0] == got[1]
 
 
+def test_departments_and_window_tasks_are_bounded(spark, sf_dir):
+    """Departments are sliced from their own size on, light keys are dealt over tasks by the number of rows: same rows."""
+    events = access_events(spark, sf_dir).where("event_id < 400")
+    ent = access_entities(events)
+    small = replace(TEST_CONFIG, max_dept_rows_per_task=30, window_rows_per_task=20)
+    plain, bounded = feature_table(events, ent, TEST_CONFIG), feature_table(events, ent, small)
+    assert _by_event(bounded) == _by_event(plain)
+    plan = bounded._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and not re.search(r"hashpartitioning\(home_dept#\d+,", plan)  # no whole department in a task
+
+
 def test_travel_skips_flagged_events(spark, sf_dir):
     """Against a walk over each user's events: a third of them flagged, null flags, ties, a clashing column; also in slices."""
     events = access_events(spark, sf_dir).where("event_id < 300").withColumns({

@@ -74,6 +74,10 @@ class FeatureConfig:
     unreachable: int = 99
     # A key with more rows than this is processed in time slices instead of by one task.
     max_rows_per_task: int = 5_000_000
+    # Departments are few, so their tasks grow with the log: from this size on they are sliced.
+    max_dept_rows_per_task: int = 250_000
+    # Rows of light keys that one window task is given; only the number of tasks depends on it.
+    window_rows_per_task: int = 100_000
     # Dimension tables with at most this many rows are broadcast.
     broadcast_rows: int = 500_000
 

@@ -124,10 +124,11 @@ def prior_from_sums(e: DataFrame, cfg: FeatureConfig) -> DataFrame:
     }).drop("_k", "_sin", "_cos", "_sin0", "_cos0", "established")
 
 
-def add_fingerprint_mismatch(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None = None) -> DataFrame:
+def add_fingerprint_mismatch(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None = None,
+                             tasks: int | None = None) -> DataFrame:
     """1 when the claimed fingerprint differs from the one seen most often before on this device
     (ties: the one seen first). The running mode is a running minimum of (-count, first seen, fp)."""
-    return per_key(e, "device_id", "us", heavy, fingerprint_step, cfg.broadcast_rows)
+    return per_key(e, "device_id", "us", heavy, lambda rows: fingerprint_step(rows, tasks=tasks), cfg.broadcast_rows)
 
 
 def prints_seen() -> tuple[list[str], list[Agg]]:
@@ -135,11 +136,12 @@ def prints_seen() -> tuple[list[str], list[Agg]]:
     return ["device_id", "fp"], [Agg("_seen", "count", F.lit(1)), Agg("_first", "min", F.struct("us", "event_id"))]
 
 
-def fingerprint_step(e: DataFrame, carry=lambda rows, name: rows) -> DataFrame:
+def fingerprint_step(e: DataFrame, carry=lambda rows, name: rows, tasks: int | None = None) -> DataFrame:
     """``carry(rows, name)`` may add what was seen before the given rows to the aggregates ``name``."""
     here = F.struct("us", "event_id")
     if SLICE not in e.columns:
-        e = e.repartition("device_id")  # one shuffle serves both windows
+        # one shuffle serves both windows
+        e = e.repartition("device_id") if tasks is None else e.repartition(tasks, "device_id")
     e = carry(running(e, ORDER, prints_seen()), "prints")
     rank = F.struct((-(F.col("_seen") + 1)).alias("n"), F.least(F.col("_first"), here).alias("first"),
                     F.col("fp").alias("fp"))
@@ -203,9 +205,9 @@ def add_bursts(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None) -> Dat
     return e.drop("_prev", "_fd", "_nh", "_fail").join(counted, ROW).drop(*[ROW][keyed:])
 
 
-def add_user_history(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None = None) -> DataFrame:
+def add_user_history(e: DataFrame, cfg: FeatureConfig, heavy: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Novelty, travel, hour deviation, bursts and history depth, all keyed by user: one shuffle."""
-    return per_key(e, "user_id", "us", heavy, lambda rows: _user_step(rows, cfg, heavy), cfg.broadcast_rows)
+    return per_key(e, "user_id", "us", heavy, lambda rows: _user_step(rows, cfg, heavy), cfg.broadcast_rows, tasks)
 
 
 def travel_columns() -> dict[str, Column]:

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.session import cut
+from wardline.session import cut, stored
 
 SLICE = "_slice"
 ROW = "_row"
@@ -47,7 +47,7 @@ def same_keys(fact: DataFrame, dim: DataFrame, keys: list[str], how: str) -> Dat
 
 def with_row_key(df: DataFrame) -> DataFrame:
     """A key of each row's own, written out so that it stays; other ids may repeat or be null."""
-    return df if ROW in df.columns else cut(df.withColumn(ROW, F.monotonically_increasing_id()))
+    return df if ROW in df.columns else stored(df.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def lookup(fact: DataFrame, dim: DataFrame, on, broadcast_rows: int, how: str = "left", nulls: bool = False) -> DataFrame:
@@ -92,14 +92,19 @@ def with_slice(df: DataFrame, key: str, us: str, heavy: DataFrame,
     return joined.withColumn(SLICE, F.coalesce(number, F.lit(0))).drop("_width")
 
 
+def dealt(df: DataFrame, key: str, tasks: int | None) -> DataFrame:
+    """``df`` dealt by ``key`` over a fixed number of tasks, which adaptive plans would merge by their compressed size."""
+    return df if tasks is None else df.repartition(tasks, key)
+
+
 def per_key(df: DataFrame, key: str, us: str, heavy: DataFrame | None, step,
-            broadcast_rows: int = 500_000) -> DataFrame:
-    """Runs ``step`` on the rows of the light keys as they are and on those of the heavy keys with
-    slices. Without heavy keys the table is passed through untouched."""
+            broadcast_rows: int = 500_000, tasks: int | None = None) -> DataFrame:
+    """Runs ``step`` on the rows of the light keys, dealt over ``tasks``, and on those of the heavy keys with
+    slices. Without heavy keys the table is otherwise passed through untouched."""
     if heavy is None:
-        return step(df)
+        return step(dealt(df, key, tasks))
     df = cut(df)
-    light = lookup(df, heavy.select(key), key, broadcast_rows, "left_anti", nulls=True)
+    light = dealt(lookup(df, heavy.select(key), key, broadcast_rows, "left_anti", nulls=True), key, tasks)
     sliced = with_slice(lookup(df, heavy.select(key), key, broadcast_rows, "left_semi", nulls=True), key, us, heavy,
                         broadcast_rows)
     return step(light).unionByName(step(sliced).drop(SLICE))

@@ -29,12 +29,14 @@ def feature_table(events: DataFrame, entities: Entities, cfg: FeatureConfig = Fe
     heavy_devices = heavy_keys(keyed, "device_id", "us", cfg.max_rows_per_task, total)
 
     e = enrich(events, entities.users, entities.hosts, entities.devices, cfg)
-    heavy_depts = heavy_keys(e.select("home_dept", "us"), "home_dept", "us", cfg.max_rows_per_task, total)
+    heavy_depts = heavy_keys(e.select("home_dept", "us"), "home_dept", "us",
+                             min(cfg.max_rows_per_task, cfg.max_dept_rows_per_task), total)
+    tasks = max(1, -(-total // cfg.window_rows_per_task))
     if heavy_users is not None or heavy_devices is not None or heavy_depts is not None:
         e = with_row_key(e)
     e = add_dept_prior(e, cfg, heavy_depts)
-    e = add_fingerprint_mismatch(e, cfg, heavy_devices)
-    e = add_user_history(e, cfg, heavy_users)
+    e = add_fingerprint_mismatch(e, cfg, heavy_devices, tasks)
+    e = add_user_history(e, cfg, heavy_users, tasks)
     reach = nearest_visited(first_visits(keyed), entities.edges, cfg)
     reach = reach.select(F.col("user_id").alias("_user"), F.col("host").alias("_host"), "graph_dist_from_history")
     first = F.col("user_id").eqNullSafe(F.col("_user")) & F.col("host").eqNullSafe(F.col("_host")) & (F.col("is_new_host") == 1)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import uuid
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,72 @@ def test_retraining_once_a_spell(spark, folder):
     assert versions(spark, place) == ["drift-20240301", "drift-20240309", "drift-20240331"]
     run("another progress")
     assert len(calls) == 4
+
+
+class _Map(dict):
+    """A map state in memory that counts what is asked of it."""
+
+    calls = 0
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self
+
+    def getValue(self, key):
+        self.calls += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self[key]
+
+
+class _Handle:
+    def __init__(self):
+        self.map, self.timers = _Map(), set()
+
+    def getMapState(self, *_):
+        return self.map
+
+    def registerTimer(self, due):
+        self.timers.add(due)
+
+
+class _Told(stateful.InOrder):
+    def open(self, handle):
+        self.loads = 0
+
+    def load(self):
+        self.loads += 1
+
+    def store(self):
+        pass
+
+    def row(self, key, r):
+        yield r["us"], r["event_id"]
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1_000])
+def test_waiting_rows_come_in_order_with_few_state_calls(chunk):
+    """Three batches out of order, with ties, null ids and rows that stay behind the watermark: each row once and in order,
+    the key's state read once a batch, and calls that follow the entries instead of the rows."""
+    job, handle, told = _Told(["us", "event_id"], ["us", "event_id"]), _Handle(), []
+    job.CHUNK, job.GATHER = chunk, 60
+    job.init(handle)
+    rows = [((i * 7919 % 200) * 500_000, None if i % 50 == 0 else i) for i in range(200)]
+    for n, watermark in enumerate((0, 40_000, 200_000)):  # ms; rows behind the watermark do not arrive
+        new = [r for r in rows[n::3] if stateful._due(r) > (0, 0, 40_000)[n]]
+        list(job.handleInputRows(("k",), ({"us": us, "event_id": i} for us, i in new), None))
+        for due in sorted(t for t in handle.timers if t <= watermark):
+            told += job.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda w=watermark: w),
+                                           SimpleNamespace(getExpiryTimeInMs=lambda d=due: d))
+            handle.timers.discard(due)
+    arrived = [r for n in range(3) for r in rows[n::3] if n < 2 or stateful._due(r) > 40_000]
+    assert [tuple(r) for r in told] == sorted(arrived, key=stateful._place)
+    assert not handle.map and job.loads <= 2
+    if chunk == 1_000:
+        assert handle.map.calls < 60

@@ -7,13 +7,14 @@ watermark are dropped by the engine; ``late_events`` collects them in a side tab
 
 from __future__ import annotations
 
+import datetime as dt
+import heapq
 import math
 import pickle
 from collections import Counter, deque
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -24,53 +25,100 @@ from wardline.functions.scalars import HOUR_TO_RADIANS
 from wardline.operators.causal import history_columns
 
 US = 1_000_000
+EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 
 
 class InOrder(StatefulProcessor):
-    """Holds rows back until the watermark passes them; subclasses handle one row at a time."""
+    """Holds rows back until the watermark passes them; subclasses handle one row at a time.
+
+    Waiting rows lie in entries of at most ``CHUNK`` rows in time order, each under the time its first row is due, with one
+    timer. The first timer of a key hands on all rows that are due, so state is read and written once a key and batch."""
+
+    CHUNK, GATHER = 1_000, 100_000  # rows of an entry, and rows that are sorted at a time
 
     def __init__(self, columns: list[str], out: list[str]):
         self.columns, self.out = columns, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # One entry and one timer per second with rows; a timer touches its own entry only.
         self.waiting = handle.getMapState("waiting", "due long", "rows binary")
         self.open(handle)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, list] = {}
-        for frame in rows:
-            for r in frame[self.columns].itertuples(index=False, name=None):
-                r = tuple(None if v is None or v is pd.NaT or v != v else
-                          v.item() if hasattr(v, "item") else v for v in r)
-                new.setdefault((r[0] // US + 1) * 1000, []).append(r)
-        for due, added in new.items():
+    def _hold(self, rows: list[tuple]) -> None:
+        rows.sort(key=_place)
+        for at in range(0, len(rows), self.CHUNK):
+            part = rows[at:at + self.CHUNK]
+            due = _due(part[0])
             if self.waiting.containsKey((due,)):
-                added = pickle.loads(bytes(self.waiting.getValue((due,))[0])) + added
-            self.waiting.updateValue((due,), (pickle.dumps(added),))
+                part = pickle.loads(bytes(self.waiting.getValue((due,))[0])) + part
+                part.sort(key=_place)
+            self.waiting.updateValue((due,), (pickle.dumps(part),))
             self.handle.registerTimer(due)
-        yield pd.DataFrame(columns=self.out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Timers of a key expire in time order, so its seconds are handled one after the other."""
-        due = (expiredTimerInfo.getExpiryTimeInMs(),)
-        if not self.waiting.containsKey(due):
-            yield pd.DataFrame(columns=self.out)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new: list[tuple] = []
+        for r in rows:
+            new.append(tuple(None if v is None or v != v else v for v in (r[c] for c in self.columns)))
+            if len(new) == self.GATHER:
+                self._hold(new)
+                new = []
+        if new:
+            self._hold(new)
+        return iter(())
+
+    def _ready(self, watermark: int) -> Iterator[tuple]:
+        """Takes the rows that are due out of the state, in order; at no time more than entries that overlap are held."""
+        dues = sorted(k[0] for k in self.waiting.keys())
+        held: list[tuple] = []  # a heap of (place, number, row): numbers keep entirely equal places apart
+        left, number = [], 0
+        for due in dues:
+            if due > watermark:
+                break
+            while held and _due(held[0][2]) < due:
+                yield heapq.heappop(held)[2]
+            for r in pickle.loads(bytes(self.waiting.getValue((due,))[0])):
+                if _due(r) > watermark:
+                    left.append(r)
+                else:
+                    heapq.heappush(held, (_place(r), number, r))
+                    number += 1
+            self.waiting.removeKey((due,))
+        while held:
+            yield heapq.heappop(held)[2]
+        if left:
+            self._hold(left)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Later timers of the key find nothing: the first has handed on what was due."""
+        if not self.waiting.containsKey((expiredTimerInfo.getExpiryTimeInMs(),)):
             return
-        ready = sorted(pickle.loads(bytes(self.waiting.getValue(due)[0])), key=lambda r: r[:2])
-        self.waiting.removeKey(due)
         self.load()
-        done = [o for r in ready for o in self.row(key[0], dict(zip(self.columns, r)))]
+        named = Row(*self.out)
+        for r in self._ready(timerValues.getCurrentWatermarkInMs()):
+            for done in self.row(key[0], dict(zip(self.columns, r, strict=True))):
+                yield named(*done)
         self.store()
-        yield pd.DataFrame(done, columns=self.out)
 
     def close(self) -> None:
         pass
 
 
+def _due(row: tuple) -> int:
+    """The watermark in ms that has passed the row's second."""
+    return (row[0] // US + 1) * 1000
+
+
+def _place(row: tuple) -> tuple:
+    """(time, event_id), without an id first."""
+    return row[0], row[1] is not None, row[1] or 0
+
+
+def _time(us: int) -> dt.datetime:
+    return EPOCH + dt.timedelta(microseconds=us)
+
+
 def _run(df: DataFrame, key: str, processor: StatefulProcessor, out: T.StructType) -> DataFrame:
-    return df.groupBy(key).transformWithStateInPandas(
+    return df.groupBy(key).transformWithState(
         statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="EventTime")
 
 
@@ -150,15 +198,19 @@ class UserHistory(InOrder):
             self.depth, self.first, self.last = 0, None, None
             self.hours = RecentHours(self.cfg.hour_history)
             self.recent = {name: Recent() for name in ("foreign", "new_host", "failure")}
+        self.fresh, self.met = self.depth == 0, set()  # met: what is known to be in ``seen``, without asking again
 
     def store(self) -> None:
         self.known.update((pickle.dumps((self.depth, self.first, self.last, self.hours, self.recent)),))
 
     def _seen_before(self, kind: str, item, us: int) -> int:
-        name = (f"{kind}:{item}",)
-        if self.seen.containsKey(name):
+        name = f"{kind}:{item}"
+        if name in self.met:
+            return 1
+        self.met.add(name)
+        if not self.fresh and self.seen.containsKey((name,)):
             return 1
-        self.seen.updateValue(name, (us,))
+        self.seen.updateValue((name,), (us,))
         return 0
 
     def row(self, user, r):
@@ -166,7 +218,7 @@ class UserHistory(InOrder):
         seen = [self._seen_before(kind, r[column], us)
                 for kind, column in (("device", "device_id"), ("host", "host"), ("dept", "owner_dept"))]
         lateral = us - self.cfg.lateral_window_s * US
-        yield (user, pd.Timestamp(us, unit="us"), *[r[c] for c in CARRIED], self.depth, self.first, self.last,
+        yield (user, _time(us), *[r[c] for c in CARRIED], self.depth, self.first, self.last,
                *self.hours.sums, *seen, len(recent["foreign"].forget(lateral).kinds),
                len(recent["new_host"].forget(lateral).happened),
                len(recent["failure"].forget(us - self.cfg.failure_window_s * US).happened))
@@ -208,21 +260,28 @@ class FingerprintHistory(InOrder):
         self.usual = handle.getValueState("usual", "events long, fp string, n long, place long")
 
     def load(self) -> None:
-        self.events, self.fp, self.n, self.place = self.usual.get() if self.usual.exists() else (0, None, 0, 0)
+        kept = self.usual.get() if self.usual.exists() else None
+        self.events, self.fp, self.n, self.place = kept or (0, None, 0, 0)
+        self.fresh, self.met = kept is None, {}  # met: fingerprints of this batch, written at its end
 
     def store(self) -> None:
+        for fp, value in self.met.items():
+            self.fps.updateValue((fp,), value)
         self.usual.update((self.events, self.fp, self.n, self.place))
 
     def row(self, device, r):
         fp, wrong = r["fp"], 0
         if fp is not None:
             wrong = int(self.fp is not None and fp != self.fp)
-            n, place = self.fps.getValue((fp,)) if self.fps.containsKey((fp,)) else (0, self.events)
-            self.fps.updateValue((fp,), (n + 1, place))
+            if fp not in self.met:
+                known = not self.fresh and self.fps.containsKey((fp,))
+                self.met[fp] = tuple(self.fps.getValue((fp,))) if known else (0, self.events)
+            n, place = self.met[fp]
+            self.met[fp] = n + 1, place
             if (n + 1, -place) > (self.n, -self.place):  # only this one's count has grown
                 self.fp, self.n, self.place = fp, n + 1, place
             self.events += 1
-        yield device, r["event_id"], pd.Timestamp(r["us"], unit="us"), wrong
+        yield device, r["event_id"], _time(r["us"]), wrong
 
 
 def fingerprint_mismatch(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -257,7 +316,7 @@ class DriftDetector(InOrder):
 
     def row(self, user, r):
         if r["x"] is not None and self.detector.update(float(r["x"])):
-            yield user, pd.Timestamp(r["us"], unit="us"), not self.fired
+            yield user, _time(r["us"]), not self.fired
             self.fired = True
 
 

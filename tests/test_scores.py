@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from wardline.config import CLASSES
 from wardline.operators.evaluate import confusion_matrix
 from wardline.operators.ranks import auc, percentile_rank, quantiles
-from wardline.operators.scoring import blend_cold_start, gate_classes
+from wardline.operators.scoring import blend_cold_start, gate_classes, top_class
 from wardline.functions.scalars import unified_score
 from wardline.operators.splits import leaking_sessions, session_split, three_way_split
 from wardline.operators.reference import by_grids, score_grids
@@ -69,6 +69,32 @@ def test_gate_never_lets_a_forbidden_class_through(spark):
                      "(pred_label = 'device_spoofing' and fingerprint_mismatch = 0)").isEmpty()
 
 
+def test_gate_of_ties_and_nulls_without_interpreted_lambdas(spark):
+    """Ties go to class order, a null probability comes first in the gate and last in the top class, a short array has the
+    classes it holds; the plan has no array function with a lambda."""
+    n = len(CLASSES)
+    normal, brute = CLASSES.index("normal"), CLASSES.index("brute_force")
+    one = [0.0] * n
+    rows = [(1, [0.5] * n, 1, 1), (2, [0.5] * n, 0, 0), (3, None, 1, 1), (4, [0.9 if i == brute else 0.1 for i in range(n)], None, 0),
+            (5, [None if i == normal else 0.3 for i in range(n)], 0, 0), (6, one[:-1] + [0.4], 0, 0), (7, [0.2, 0.2], 0, 0)]
+    df = spark.createDataFrame(rows, "id int, probs array<double>, failure_burst_count int, fingerprint_mismatch int")
+    out = top_class(df.where("id < 7"))
+    out = gate_classes(out)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
+    for r in out.collect():
+        if r["probs"] is None:
+            assert r["pred_label"] is None and r["raw_label"] is None
+            continue
+        ok = [(r["failure_burst_count"] or 0) >= 1 if c == "brute_force" else (r["fingerprint_mismatch"] or 0) >= 1
+              if c == "device_spoofing" else True for c in CLASSES]
+        order = sorted((i for i in range(n) if ok[i]), key=lambda i: (r["probs"][i] is not None, -(r["probs"][i] or 0), i))
+        assert r["pred_label"] == CLASSES[order[0]]
+        assert r["raw_label"] == CLASSES[max(range(n), key=lambda i: (r["probs"][i] is not None, r["probs"][i] or 0, -i))]
+    short = top_class(df.where("id = 7")).first()
+    assert short["raw_label"] == CLASSES[0] and short["raw_confidence"] == 0.2
+
+
 def test_splits_keep_sessions_whole(spark, sf_dir):
     events = access_events(spark, sf_dir)
     df = three_way_split(events)

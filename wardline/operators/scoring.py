@@ -74,13 +74,12 @@ def gate_classes(df: DataFrame, probs: str = "probs", classes: list[str] = CLASS
     names = F.array(*[F.lit(c) for c in classes])
     needs = {"brute_force": F.col("failure_burst_count") >= 1,
              "device_spoofing": F.col("fingerprint_mismatch") >= 1}
-    allowed = F.array(*[F.coalesce(needs.get(c, F.lit(True)), F.lit(False)) for c in classes])
-    ranked = F.array_sort(F.transform(F.col(probs), lambda p, i: F.struct(
-        (-p).alias("np"), i.alias("i"), F.element_at(allowed, i + 1).alias("ok"))))
-    first = F.element_at(F.filter(ranked, lambda s: s["ok"]), 1)
+    # The least of one struct a class: array functions with lambdas would be interpreted row by row.
+    first = F.least(*[F.when((F.size(probs) > i) & needs.get(c, F.lit(True)), F.struct(
+        (-F.get(probs, F.lit(i))).alias("np"), F.lit(i).alias("i"))) for i, c in enumerate(classes)])
     normal = classes.index("normal")
     return df.withColumn("_top", first).withColumns({
-        "pred_label": F.element_at(names, F.col("_top.i") + 1),
+        "pred_label": F.get(names, F.col("_top.i")),
         "confidence": -F.col("_top.np"),
         "attack_prob": 1.0 - F.element_at(probs, normal + 1),
     }).drop("_top")
@@ -89,9 +88,10 @@ def gate_classes(df: DataFrame, probs: str = "probs", classes: list[str] = CLASS
 def top_class(df: DataFrame, probs: str = "probs", classes: list[str] = CLASSES) -> DataFrame:
     """Ungated prediction, for comparison: raw_label and raw_confidence."""
     names = F.array(*[F.lit(c) for c in classes])
-    best = F.array_max(F.transform(F.col(probs), lambda p, i: F.struct(p.alias("p"), (-i).alias("ni"))))
+    best = F.greatest(*[F.when(F.size(probs) > i, F.struct(F.get(probs, F.lit(i)).alias("p"), F.lit(-i).alias("ni")))
+                        for i in range(len(classes))])
     return df.withColumn("_top", best).withColumns({
-        "raw_label": F.element_at(names, 1 - F.col("_top.ni")), "raw_confidence": F.col("_top.p"),
+        "raw_label": F.get(names, -F.col("_top.ni")), "raw_confidence": F.col("_top.p"),
     }).drop("_top")
 
 

@@ -1,5 +1,8 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing column names."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from wardline.llm.components import components
 from wardline.llm.decontaminate import decontaminate
 from wardline.llm.line_dedup import dedup_lines
 from wardline.llm.queries import QUERIES
+from wardline.llm import search
 from wardline.llm.search import bm25
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -121,6 +125,55 @@ def test_search_of_an_empty_query(docs):
     assert got.count() == 0
 
 
+def test_search_takes_document_counts_from_the_index(spark):
+    """Counts and mean length come from the postings of all shards; null and empty texts count as documents."""
+    texts = ["a b b", "b c", None, "", "a b", "c c c c"] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    words = docs.select("doc_id", F.when(F.length("text") > 0, F.split("text", " ")).otherwise(F.array().cast("array<string>")).alias("w"))
+    terms = words.select("doc_id", F.size("w").cast("int").alias("n"), F.transform("w", lambda w: F.xxhash64(w)).alias("terms"))
+    shards = search.index_shards(terms, len(texts), shard=5)
+    with search.one_row_batches(spark):
+        got = {r["term"]: r["df"] for r in search.document_counts(shards).collect()}
+        assert abs(search.mean_length_of(shards) - 11 / 6) < 1e-12
+        assert search.mean_length_of(shards.limit(0)) == 1.0
+    named = {r["w"]: r["h"] for r in words.select(F.explode("w").alias("w")).distinct().select("w", F.xxhash64("w").alias("h")).collect()}
+    assert got == {named["a"]: 6, named["b"]: 9, named["c"]: 6}
+    held = [(t or "").split() for t in texts]
+    part = {w: math.log(1 + (len(texts) - n + 0.5) / (n + 0.5)) for w, n in (("a", 6), ("b", 9))}
+    want = sorted((-round(sum(part[w] * 2.2 * d.count(w) / (d.count(w) + 1.2 * (0.25 + 0.75 * len(d) / (11 / 6))) for w in "ab"), 6), i)
+                  for i, d in enumerate(held))[:10]
+    found = sorted((r["rank"], r["doc_id"], r["score"]) for r in bm25(docs, F.col("doc_id") == 0).collect())
+    assert [i for _, i, _ in found] == [i for s, i in want if s] and np.allclose([s for *_, s in found], [-s for s, _ in want if s])
+
+
+def test_search_opens_nothing_below_a_floor(monkeypatch):
+    """A floor from other shards leaves out lower scores only: equal ones stay, and blocks below it are not opened."""
+    terms = [np.array([1]), np.array([1, 2]), np.array([3])] * 50
+    flat = np.concatenate(terms)
+    index = search.opened(search.build_index(np.arange(150), np.array([len(t) for t in terms]), np.array([len(t) for t in terms]),
+                                             flat, np.ones(len(flat), int)), 4 / 3)
+    ids, scores = search.search(index, np.array([2]), np.array([1.0]), 3)
+    assert list(ids) == [1, 4, 7]
+    same, _ = search.search(index, np.array([2]), np.array([1.0]), 3, least=scores[2])
+    assert list(same) == [1, 4, 7]
+    opened = []
+    spans = search.spans
+    monkeypatch.setattr(search, "spans", lambda *a: opened.append(1) or spans(*a))
+    none, _ = search.search(index, np.array([2]), np.array([1.0]), 3, least=scores[0] + 1)
+    assert len(none) == 0 and len(opened) == 1  # the segments for the bounds, no postings
+
+
+@pytest.mark.parametrize("shard", [3, 50])
+def test_search_is_the_same_over_any_number_of_shards(spark, monkeypatch, shard):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[
+        F.concat(F.lit("w"), ((F.col("id") * k) % (5 + k)).cast("string")) for k in range(1, 7)]).alias("text"))
+    asks = F.col("doc_id") % 20 == 0
+    want = sorted(map(tuple, bm25(docs, asks).collect()))
+    build = search.index_shards
+    monkeypatch.setattr(search, "index_shards", lambda rows, n: build(rows, n, shard))
+    assert sorted(map(tuple, bm25(docs, asks).collect())) == want and len(want) == 100
+
+
 def test_token_blocks_with_outliers():
     import numpy as np
     ids = np.array([5] * 200 + [2 ** 32 - 1, 0, 77], np.uint32)

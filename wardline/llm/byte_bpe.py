@@ -47,7 +47,7 @@ class Transducer:
     single guess, all that lies before its open token is settled.
     """
 
-    STATES, PAIRS, ROW = 160_000, 600_000, 48
+    STATES, PAIRS, ROW, COLUMNS = 120_000, 300_000, 48, 32
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -73,7 +73,9 @@ class Transducer:
         self.states: list[tuple[int, ...]] = []
         self.closing, self.closed = np.zeros(4096, np.int16), np.zeros(4096, np.int32)
         self.column = np.full(256, NONE, np.int16)  # of ``moves``, for the bytes met so far
-        self.moves = np.full((4096, 64), NONE, np.int32)
+        # the next state plus one, so that zero is none; by far the largest table: memory is taken as rows are first
+        # written, and it grows without a copy beside it until a call passes STATES by a fourth
+        self.moves = np.zeros((max(4096, self.STATES * 5 // 4), 2 * self.COLUMNS), np.int32)
         self.start = self._number((self._guess(NONE, 0),))
 
     @staticmethod
@@ -125,26 +127,32 @@ class Transducer:
                         raise ValueError("these ranks do not give one encoding")
                     size, token = self.depth[node], own
             if at == len(self.closing):
-                more = at // 4  # not twofold: ``moves`` is the largest table
-                self.closing, self.closed = (np.concatenate((x, np.zeros_like(x[:more]))) for x in (self.closing, self.closed))
-                self.moves = np.concatenate((self.moves, np.full_like(self.moves[:more], NONE)))
+                self.closing, self.closed = (np.concatenate((x, np.zeros_like(x))) for x in (self.closing, self.closed))
+            if at == len(self.moves):
+                self._widen(at + at // 4, self.moves.shape[1])
             self.closing[at], self.closed[at] = size, token
         return at
 
+    def _widen(self, rows: int, columns: int) -> None:
+        known, width = min(len(self.states), len(self.moves)), self.moves.shape[1]
+        moves = np.zeros((rows, columns), np.int32)
+        moves[:known, :width] = self.moves[:known]
+        self.moves = moves
+
     def _moved(self, state: int, byte: int) -> int:
         """The next state, found in ``moves`` or made."""
         if (column := self.column[byte]) == NONE:
             column = self.column[byte] = self.column.max() + 1
             if column == self.moves.shape[1]:
-                self.moves = np.concatenate((self.moves, np.full_like(self.moves, NONE)), axis=1)
-        if (after := int(self.moves[state, column])) == NONE:
+                self._widen(len(self.moves), column + self.COLUMNS)
+        if (after := int(self.moves[state, column]) - 1) == NONE:
             child = self.child
             guesses = [g >> 24 << 24 | below for g in self.states[state]
                        if (below := child.get((g & 0xFFFFFF) << 8 | byte)) is not None]
             if self.closing[state]:
                 guesses.append(self._guess(int(self.closed[state]), child[byte]))
             after = self._number(tuple(guesses))
-            self.moves[state, column] = after
+            self.moves[state, column] = after + 1
         return after
 
     def _fresh(self) -> None:
@@ -201,7 +209,7 @@ class Transducer:
             on = int(np.searchsorted(-sizes, -j, side="left"))  # those longer than j
             state, byte = state[:on], grid[:on, j]
             column = self.column[byte]
-            after = np.where(column == NONE, NONE, self.moves[state, np.maximum(column, 0)])
+            after = np.where(column == NONE, NONE, self.moves[state, np.maximum(column, 0)] - 1)
             new = np.flatnonzero(after == NONE)
             if len(new):
                 pairs, back = np.unique(state[new].astype(np.int64) << 8 | byte[new], return_inverse=True)
@@ -299,8 +307,8 @@ class Encoder:
         self.ranks = load_ranks(path)
         self.transducer = Transducer(self.ranks)
         self.pattern = regex.compile(pattern)
-        self.stretches = Memo(self.transducer.encode, 120_000)
-        self.memo = Memo(self._pieces, 120_000)
+        self.stretches = Memo(self.transducer.encode, 60_000)
+        self.memo = Memo(self._pieces, 60_000)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         cut = [[s.encode("utf-8", "surrogatepass") for s in self.pattern.findall(p)] for p in pieces]

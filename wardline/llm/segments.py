@@ -9,6 +9,7 @@ import json
 import os
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -103,15 +104,22 @@ class ByteLevel:
         if not segments:
             return []
         texts = pa.array(segments, pa.large_string())
-        word, marked, plain = (pc.match_substring_regex(texts, p).to_pylist() for p in (self.WORD, self.MARKED, self.PLAIN))
+        word = pc.match_substring_regex(texts, self.WORD).to_numpy(zero_copy_only=False)
+        whole = self.stretches.all(words := [segments[i] for i in np.flatnonzero(word).tolist()])  # a word is one stretch
+        if len(words) == len(segments):
+            return whole
+        rows = np.flatnonzero(~word)
+        texts, segments = texts.take(pa.array(rows)), [segments[i] for i in rows.tolist()]
+        marked, plain = (pc.match_substring_regex(texts, p).to_pylist() for p in (self.MARKED, self.PLAIN))
         cut = self.pattern.findall
-        parts = [(s,) if w else (s[:-1], s[-1]) if m else cut(s) if p else ()
-                 for s, w, m, p in zip(segments, word, marked, plain, strict=True)]
-        known = dict(zip(all_ := list({x for c in parts for x in c}), self.stretches.all(all_), strict=True))
+        parts = [(s[:-1], s[-1]) if m else cut(s) if p else () for s, m, p in zip(segments, marked, plain, strict=True)]
+        known = dict(zip(all_ := list(set(chain.from_iterable(parts))), self.stretches.all(all_), strict=True))
         other = [s for s, p in zip(segments, plain, strict=True) if not p]
         rest = iter(self.tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else ())
-        return [known[c[0]] if len(c) == 1 else b"".join([known[x] for x in c]) if p else array("i", next(rest).ids).tobytes()
-                for c, p in zip(parts, plain, strict=True)]
+        cuts = iter([known[c[0]] if len(c) == 1 else b"".join([known[x] for x in c]) if p else array("i", next(rest).ids).tobytes()
+                     for c, p in zip(parts, plain, strict=True)])
+        words = iter(whole)
+        return [next(words) if w else next(cuts) for w in word.tolist()]
 
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
